@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from .bpe import op7_byte_bpe
+from . import bpe, topk, urls
 
 QUERIES = {
-    "op7_byte_bpe": op7_byte_bpe,
+    "op5_url_filter": urls.op5_url_filter,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_exact_topk": topk.op9_exact_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": urls.SQL,
+    "op9_exact_topk": topk.SQL,
+}
