@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, topk, urls
+from . import bpe, secrets, topk, urls
 
 QUERIES = {
     "op5_url_filter": urls.op5_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op9_exact_topk": topk.op9_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": urls.SQL,
+    "op8_secret_scan": secrets.SQL,
     "op9_exact_topk": topk.SQL,
 }
