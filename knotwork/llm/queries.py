@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, topk, urls
+from . import bpe, decontam, secrets, topk, urls
 
 QUERIES = {
+    "op2_decontaminate": decontam.op2_decontaminate,
     "op5_url_filter": urls.op5_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontam.SQL,
     "op5_url_filter": urls.SQL,
     "op8_secret_scan": secrets.SQL,
     "op9_exact_topk": topk.SQL,
