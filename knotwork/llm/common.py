@@ -144,11 +144,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def separators(codes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, A-Z lower-cased, and the rows' word offsets.
+    between: which bytes separate words, by default white space.
 
     Words never cross rows. Work is cut into pieces of about a quarter of a megabyte at
     word boundaries, so temporaries stay small for texts of any length."""
+    between = _SPACE if between is None else between
     n, out, starts_out = len(data), [], []
     at, row_starts = 0, offsets[:-1]
     piece = 1 << 18
@@ -156,7 +164,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         end = min(n, at + piece)
         if end < n:  # move on to the next space or row start
             while end < n:
-                tail = _SPACE[data[end : end + 4096]]
+                tail = between[data[end : end + 4096]]
                 k = int(tail.argmax()) if tail.any() else -1
                 nxt = offsets[np.searchsorted(offsets, end, side="left")]
                 stop = end + k if k >= 0 else end + len(tail)
@@ -168,7 +176,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                     break
         d = data[at:end]
         m = len(d)
-        space = _SPACE[d]
+        space = between[d]
         first = np.empty(m, bool)
         first[0] = True
         first[1:] = space[:-1]
