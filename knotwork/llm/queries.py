@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, secrets, topk, urls
+from . import bpe, decontam, language, quality, secrets, topk, urls
 
 QUERIES = {
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op4_language": language.op4_language,
     "op5_url_filter": urls.op5_url_filter,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_exact_topk": topk.op9_exact_topk,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
