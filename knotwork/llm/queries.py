@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, language, quality, secrets, topk, urls
+from . import bpe, decontam, language, quality, secrets, suffix_tree, topk, urls
 
 QUERIES = {
+    "op1_suffix_tree_lm": suffix_tree.op1_suffix_tree_lm,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op4_language": language.op4_language,
     "op5_url_filter": urls.op5_url_filter,
