@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, language, quality, secrets, suffix_tree, topk, urls
+from . import bpe, decontam, language, near_dups, quality, secrets, suffix_tree, topk, urls
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree.op1_suffix_tree_lm,
     "op2_decontaminate": decontam.op2_decontaminate,
     "op4_language": language.op4_language,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_near_duplicates": near_dups.op6_near_duplicates,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_exact_topk": topk.op9_exact_topk,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontam.SQL,
     "op5_url_filter": urls.SQL,
+    "op6_near_duplicates": near_dups.SQL,
     "op8_secret_scan": secrets.SQL,
     "op9_exact_topk": topk.SQL,
 }
