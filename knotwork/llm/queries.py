@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, language, near_dups, quality, secrets, suffix_tree, topk, urls
+from . import bpe, decontam, language, near_dups, quality, secrets, suffix_dedup, suffix_tree, topk, urls
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree.op1_suffix_tree_lm,
     "op2_decontaminate": decontam.op2_decontaminate,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language": language.op4_language,
     "op5_url_filter": urls.op5_url_filter,
     "op6_near_duplicates": near_dups.op6_near_duplicates,
