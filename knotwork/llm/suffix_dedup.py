@@ -35,7 +35,7 @@ LENGTH, GRAM, SHALLOW = 50, 20, 16
 LEFT = LENGTH - GRAM  # an anchor's windows start so many bytes before it at most
 WIDTH = LEFT + LENGTH
 #: Bytes of text in a block, one document at least; and buckets at most.
-BLOCK_BYTES, MOST_BUCKETS = 24 << 20, 8192
+BLOCK_BYTES, MOST_BUCKETS = 10 << 20, 8192
 #: Different surroundings from which an anchor is hot, if blocks hold HOT_EACH on average.
 HOT, HOT_EACH = 4096, 4
 _U = np.uint64
