@@ -8,11 +8,12 @@ count of two sketches' XOR estimates how many samples differ. Candidates whose e
 clearly too low are dropped, the rest are confirmed on their full sets: intersection / union
 >= 0.75.
 
-Only links that can still join two components are confirmed. First every class meets the least
-member of each of its buckets and tries the likeliest; connected components of these links
-leave few buckets with several components. There, members of different components meet in
-blocks of a bucket (buckets are cut into blocks of bounded size, block pairs are dealt out), and
-what the sketches let through is confirmed, likeliest first, until nothing is left untested. A
+Only links that can still join two components are confirmed. First every class tries the
+likeliest of its buckets' least members; then, twice, the likeliest member of another component
+in its part of a bucket (a bucket is cut into parts of bounded size). Components that still have
+likely candidates in each other form families. Within a family, every member outside the largest
+component is held against every member, in blocks of full sets, and each block reports only
+links that join components: so no candidate pair is left untested, and none is written down. A
 pair at similarity 0.75 misses all bands with probability (1 - 0.75 ** ROWS) ** BANDS = 2e-5,
 closer ones less.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, mix, randoms, shingle_hashes, slices, stored, table, word_hashes
@@ -113,8 +114,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # --- confirmation ------------------------------------------------------------------------
 
 
-def _packed_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n, set): the sets of the wanted ids' texts, 48 bits of each hash, sorted."""
+def _packed_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(rep, set): the sets of classes(rep, n, f1, f2), 48 bits of each hash, sorted."""
 
     def run(batches):
         for batch in batches:
@@ -123,10 +124,16 @@ def _packed_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> Dat
                 sets, off = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 short = (sets >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
                 raw = [short[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(np.diff(off)), pa.array(raw, pa.binary())], names=["id", "n", "set"])
+                # f1 tells the texts of a repeated id apart
+                has = np.flatnonzero(np.diff(off))
+                f1 = np.zeros(len(off) - 1, _U)
+                if len(has):
+                    f1[has] = np.add.reduceat(mix(sets), off[:-1][has])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(f1.view(np.int64)), pa.array(raw, pa.binary())], names=["rep", "f1", "set"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, set binary")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    found = rows.mapInArrow(run, "rep long, f1 long, set binary")
+    return found.join(classes.select("rep", "f1", "cid"), ["rep", "f1"]).groupBy("cid").agg(F.first("set").alias("set"))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -135,20 +142,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view(_U).ravel()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, numerator: int, denominator: int) -> DataFrame:
-    """Those of pairs(x, y, xn, yn) whose sets have denominator * intersection >= numerator *
-    union. xn and yn pick the text where an id is repeated."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = stored(_packed_sets(docs, ids, doc_id, text), "sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("set").alias(f"{c}s"))
-    both = pairs.join(side("x"), ["x", "xn"]).join(side("y"), ["y", "yn"])
+def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Those of pairs(x, y) whose sets have denominator * intersection >= numerator * union."""
+    side = lambda c: sets.select(F.col("cid").alias(c), F.col("set").alias(f"{c}s"))
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
 
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist()):
-                p, q = _unpacked(a), _unpacked(b)
-                u = np.concatenate([p, q])
+            for a, b in zip(batch.column("xs"), batch.column("ys")):
+                u = np.concatenate([_unpacked(a.as_py()), _unpacked(b.as_py())])
                 u.sort()
                 shared = int((u[1:] == u[:-1]).sum())
                 keep.append(denominator * shared >= numerator * (len(u) - shared))
@@ -175,81 +178,156 @@ def _likely(numerator: int, denominator: int):
 
 
 def _first_links(buckets: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """For each class the likeliest of the least members of its buckets: (x, y, xn, yn)."""
-    least = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("y")).filter("c > 1").drop("c")
-    met = buckets.join(least, "key").filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
+    """(x, y): for each class the likeliest of the least members of its buckets."""
+    least = buckets.groupBy("key").agg(F.min("cid").alias("y"))
+    met = buckets.join(least, "key").filter("cid <> y").select(F.col("cid").alias("x"), "y").distinct()
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
     seen = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xn", "yn", _differing("xs", "ys").alias("differ")).filter(_likely(numerator, denominator))
-    return seen.groupBy("x").agg(F.min(F.struct("differ", "y", "xn", "yn")).alias("b")).select("x", "b.y", "b.xn", "b.yn")
+    return seen.groupBy("x").agg(F.min(F.struct("differ", "y")).alias("b")).select("x", "b.y")
+
+
+def _column(x, name: str) -> np.ndarray:
+    return x.field(name).to_numpy()
+
+
+def _parts(buckets: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, part, parts, least, m): the members of buckets with several components, in parts."""
+    named = classes.select("cid", "n", "sketch").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    where = buckets.join(named.select("cid", "comp"), "cid")
+    several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi")).filter("least <> hi").select("key", "least", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    members = buckets.join(several, "key").join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    return members.groupBy("key", "part", "parts", "least").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m")).select("parts", "least", "m")
 
 
-def _cross_pairs(buckets: DataFrame, classes: DataFrame, label: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Likely pairs (x, y, xn, yn, differ) of different components within a bucket."""
-    named = classes.select("rep", "n", "sketch").join(label, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    where = buckets.join(named.select("rep", "comp"), "rep")
-    several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    members = buckets.join(several, "key").join(named, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    block = members.groupBy("key", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("rep", "comp", "n", "sketch")).alias("m"))
-    left = block.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).select("key", "other", F.col("part").alias("own"), F.col("m").alias("a"))
-    right = block.select("key", F.col("part").alias("other"), F.col("m").alias("b"))
-    most, room = most_differing(LEAST_ESTIMATE), (numerator, denominator)
+def _near(flat, room: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members, components, XOR counts, and which pairs are likely and of two components."""
+    cid, comp, n = (_column(flat, c) for c in ("cid", "comp", "n"))
+    sketch = flat.field("sketch").flatten().to_numpy().view(_U).reshape(-1, BITS // 64)
+    differ = np.zeros((len(cid), len(cid)), np.int16)
+    for k in range(BITS // 64):
+        differ += np.bitwise_count(sketch[:, None, k] ^ sketch[None, :, k])
+    ok = (differ <= most_differing(LEAST_ESTIMATE)) & (comp[:, None] != comp[None]) & (np.minimum(n[:, None], n[None]) * room[1] >= np.maximum(n[:, None], n[None]) * room[0])
+    return cid, comp, differ, ok
 
-    def arrays(x):
-        flat = x.flatten() if isinstance(x, pa.ListArray) else x
-        return [flat.field(c).to_numpy() for c in ("rep", "comp", "n")] + [flat.field("sketch").flatten().to_numpy().view(_U).reshape(-1, BITS // 64)]
+
+def _likeliest(parts: DataFrame, room: tuple[int, int]) -> DataFrame:
+    """(x, y): for each class the likeliest class of another component in its parts."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cid, _, differ, ok = _near(batch.slice(i, 1).column("m").flatten(), room)
+                has = np.flatnonzero(ok.any(1))
+                if len(has):
+                    best = np.where(ok[has], differ[has], 32_000).argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[has]), pa.array(cid[best]), pa.array(differ[has, best].astype(np.int64))], names=["x", "y", "differ"])
+
+    best = parts.select("m").mapInArrow(run, "x long, y long, differ long").groupBy("x").agg(F.min(F.struct("differ", "y")).alias("b"))
+    return best.select(F.greatest("x", "b.y").alias("x"), F.least("x", "b.y").alias("y")).distinct()
+
+
+def _related(parts: DataFrame, room: tuple[int, int]) -> DataFrame:
+    """(u, v): components with likely candidates in each other, linked within each part to the
+    least one; of buckets with several parts, every component to the bucket's least."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                flat = row.column("m").flatten()
+                if row.column("parts")[0].as_py() > 1:
+                    u = np.unique(_column(flat, "comp"))
+                    v = np.full(len(u), row.column("least")[0].as_py())
+                else:
+                    _, comp, _, ok = _near(flat, room)
+                    a, b = np.nonzero(ok)
+                    u, v = np.unique(np.stack([np.maximum(comp[a], comp[b]), np.minimum(comp[a], comp[b])]), axis=1)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return parts.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
+
+def _family_links(families: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(x, y): links between components of a family(comp, family), enough to join all that are
+    linked. Members outside the largest component meet all members, block by block."""
+    known = classes.select("cid", "n").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    members = stored(known.join(families, "comp"), "families")
+    size = members.groupBy("family", "comp").agg(F.count("*").alias("c"))
+    big = size.groupBy("family").agg(F.max(F.struct("c", F.col("comp").alias("top"))).alias("b"), F.sum("c").alias("all")).select("family", "b.top", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("b.c")) / BLOCK).cast("int").alias("rows"))
+    full = members.join(big, "family").join(sets, "cid")
+    item = F.struct("cid", "comp", "n", "set")
+    part = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    all_ = full.withColumn("p", part("parts")).groupBy("family", "p").agg(F.collect_list(item).alias("b"))
+    few = full.filter("comp <> top").withColumn("q", part("rows")).groupBy("family", "q").agg(F.first("parts").alias("parts"), F.collect_list(item).alias("a"))
+    met = few.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(all_, ["family", "p"]).select("a", "b")
 
     def run(batches):
         for batch in batches:
-            found = []
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                ra, ca, na, sa = arrays(row.column("a"))
-                rb, cb, nb, sb = arrays(row.column("b"))
-                differ = np.bitwise_count(sa[:, None] ^ sb[None]).sum(2, dtype=np.int64)
-                ok = (differ <= most) & (ca[:, None] != cb[None]) & (np.minimum(na[:, None], nb[None]) * room[1] >= np.maximum(na[:, None], nb[None]) * room[0])
-                p, q = np.nonzero(ok)
-                if len(p):
-                    swap = ra[p] < rb[q]
-                    x, y = np.where(swap, rb[q], ra[p]), np.where(swap, ra[p], rb[q])
-                    xn, yn = np.where(swap, nb[q], na[p]), np.where(swap, na[p], nb[q])
-                    found.append((x, y, xn, yn, differ[p, q]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["x", "y", "xn", "yn", "differ"])
-
-    met = left.join(right, ["key", "other"]).select("a", "b")
-    return met.mapInArrow(run, "x long, y long, xn long, yn long, differ long").distinct()
+                sides = [row.column(c).flatten() for c in ("a", "b")]
+                n = [len(s) for s in sides]
+                own = [_unpacked(x.as_py()) for s in sides for x in s.field("set")]
+                size = np.array([len(x) for x in own])
+                values, place = np.unique(np.concatenate(own), return_inverse=True)
+                of = np.repeat(np.arange(len(own)), size)
+                shared = np.zeros((n[0], n[1]), np.float32)
+                for at in range(0, len(values), 1 << 14):  # incidence of some thousand shingles at a time
+                    here = (place >= at) & (place < at + (1 << 14))
+                    has = np.zeros((len(own), min(1 << 14, len(values) - at)), np.float32)
+                    has[of[here], place[here] - at] = 1
+                    shared += has[: n[0]] @ has[n[0] :].T
+                comp = [_column(s, "comp") for s in sides]
+                union = size[: n[0], None] + size[None, n[0] :] - shared
+                ok = (denominator * shared >= numerator * union) & (comp[0][:, None] != comp[1][None])
+                x, y = np.nonzero(ok)
+                if len(x):
+                    cid = [_column(s, "cid") for s in sides]
+                    # one link for each pair of components is enough
+                    _, first = np.unique(np.stack([comp[0][x], comp[1][y]]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[0][x[first]]), pa.array(cid[1][y[first]])], names=["x", "y"])
+
+    return met.mapInArrow(run, "x long, y long")
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
     rows = stored(signatures(docs, doc_id, text), "signatures")
     useful = rows.filter("n > 0 and id is not null")
-    classes = stored(useful.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
-    buckets = stored(classes.select("rep", F.explode("keys").alias("key")).distinct(), "buckets")
-    # an id that is the representative of several sets, or in a class under another one
-    edges = useful.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select(F.col("id").alias("u"), F.col("rep").alias("v")).filter("u <> v").distinct()
-    first = stored(_first_links(buckets, classes, numerator, denominator), "pairs")
-    sure = stored(confirmed(first, docs, doc_id, text, numerator, denominator), "links")
-    tested = first.select("x", "y")
-    for most in (1, 4, None):  # the likeliest of each x first; in the end all that are left
-        label = stored(components(sure.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "rep"), "labels")
-        pairs = _cross_pairs(buckets, classes, label, numerator, denominator).join(tested, ["x", "y"], "left_anti")
-        if most:
-            w = Window.partitionBy("x").orderBy("differ", "y")
-            pairs = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).drop("r")
-        pairs = stored(pairs.select("x", "y", "xn", "yn"), "pairs")
-        if pairs.isEmpty():
-            break
-        sure = sure.union(stored(confirmed(pairs, docs, doc_id, text, numerator, denominator), "links"))
-        tested = tested.union(pairs.select("x", "y"))
-    label = components(edges.union(sure.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    # a class is named by its set, so an id with several texts may stand for several classes
+    named = F.xxhash64("f1", "f2", "n").alias("cid")
+    classes = stored(useful.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select(named, "*"), "classes")
+    every = stored(classes.select("cid", F.explode("keys").alias("key")).distinct(), "buckets")
+    busy = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    buckets = stored(every.join(busy, "key"), "buckets")
+    mates = stored(classes.drop("keys").join(buckets.select("cid").distinct(), "cid", "left_semi"), "mates")
+    sets = stored(_packed_sets(docs, mates, doc_id, text), "sets")
+    room = (numerator, denominator)
+
+    def labels(links: DataFrame) -> DataFrame:
+        return stored(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "cid"), "labels")
+
+    sure = stored(confirmed(_first_links(buckets, mates, *room), sets, *room), "links")
+    for _ in range(2):
+        parts = _parts(buckets, mates, labels(sure))
+        sure = stored(sure.union(confirmed(_likeliest(parts, room), sets, *room)), "links")
+    label = labels(sure)
+    families = components(_related(_parts(buckets, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family"))
+    sure = sure.union(_family_links(families, mates, label, sets, *room))
+    # from classes back to ids
+    of = useful.join(classes.select("f1", "f2", "n", "cid", "rep"), ["f1", "f2", "n"])
+    same = of.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    rep = lambda c: classes.select(F.col("cid").alias(c), F.col("rep").alias(f"{c}r"))
+    across = sure.select("x", "y").join(rep("x"), "x").join(rep("y"), "y").select(F.col("xr").alias("u"), F.col("yr").alias("v"))
+    label = components(same.union(across))
     out = rows.select("id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near-duplicates: of each component the rows of its least id stay, of
-    equal rows one. Rows without words or with a null id stay."""
+    """docs without near-duplicates: of each component the rows of its least id stay. Rows
+    without words or with a null id stay."""
     gone = link(docs, doc_id, text).filter("id <> component_id").select(F.col("id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti")
 
