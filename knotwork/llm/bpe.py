@@ -172,6 +172,12 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.known.__getitem__, self.pieces(text))) if text else b""
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.known.clear()
+        self.older = {}
+        self.fits.cache_clear()
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
@@ -210,6 +216,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
                 if decoded:
                     cols.append(pa.array([own.decode(x) for x in got], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=kept + [ids, n_tokens] + ([decoded] if decoded else []))
+        own.forget()  # the worker may go on to other work
 
     return df.select([F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])]).mapInArrow(run, schema)
 
