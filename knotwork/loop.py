@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,10 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder and forget how it was made. The copy survives
-    the loss of executors, and plans stay short however many rounds a loop takes."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it back. The copy survives the loss of
+    executors, df is computed once, and plans stay short however many rounds a loop takes."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass

@@ -53,7 +53,7 @@ def mapped_back(labels: DataFrame, merged: DataFrame) -> DataFrame:
 
 def insert_naive(graph: Graph, batch: DataFrame, **how) -> DataFrame:
     """Method 5: recompute on all edges."""
-    return strategies.full(graph.with_edges(batch), **how).result()
+    return strategies.auto(graph.with_edges(batch), **how).result()
 
 
 def _merged(graph: Graph, labels: DataFrame, batch: DataFrame, pivot: str, known: DataFrame | None, **how) -> DataFrame:
@@ -61,11 +61,11 @@ def _merged(graph: Graph, labels: DataFrame, batch: DataFrame, pivot: str, known
     if nodes.limit(2).count() <= 1:
         return labels.select("v", "scc")  # one component stays one
     quotient = cut(condense(graph.edges.select("src", "dst").union(batch.select("src", "dst")), labels).distinct())
-    return mapped_back(labels, strategies.full(Graph(quotient, nodes), pivot=pivot, known=known, **how).result())
+    return mapped_back(labels, strategies.auto(Graph(quotient, nodes), pivot=pivot, known=known, **how).result())
 
 
 def insert_condensed(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
-    """Method 6: the main plan on the condensation, pivot of most out-edges."""
+    """Method 6: the components of the condensation, pivot of most out-edges."""
     return _merged(graph, labels, batch, "degree", None, **how)
 
 
@@ -138,14 +138,14 @@ def delete_affected(graph: Graph, labels: DataFrame, batch: DataFrame, **how) ->
     hit = cut(affected(labels, batch))
     again = labels.join(hit, "scc", "left_semi").select("v", "scc")
     left = relabelled(survivors(graph.edges, batch), again).filter("a = b").select("src", "dst")
-    new = strategies.full(Graph(cut(left), again.select("v")), **how).result()
+    new = strategies.auto(Graph(cut(left), again.select("v")), **how).result()
     return labels.join(hit, "scc", "left_anti").select("v", "scc").union(new)
 
 
 def delete_confined(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
     """Method 10: recompute all, every search confined to an old component."""
     inside = relabelled(survivors(graph.edges, batch), labels).filter("a = b").select("src", "dst")
-    return strategies.full(Graph(cut(inside), labels.select("v")), **how).result()
+    return strategies.auto(Graph(cut(inside), labels.select("v")), **how).result()
 
 
 def every_kth(edges: DataFrame, k: int) -> DataFrame:

@@ -115,9 +115,9 @@ class Plan:
             else:
                 self.fwbw()
 
-    def finish_coloring(self) -> None:
-        """Until nothing is active: coloring rounds, no local finisher."""
-        while not self.active.isEmpty():
+    def coloring(self) -> None:
+        """Coloring rounds until no more is active than fits into a task."""
+        while self.active.count() + self.edges.count() > self.local_rows:
 
             def work():
                 self.active, self.edges, found = split.coloring_round(self.active, self.edges)
@@ -126,7 +126,17 @@ class Plan:
 
             self._took("coloring", work)
 
+    def phases_of_full(self, pivot: str) -> None:
+        self.trim1()
+        self.global_fwbw(pivot)
+        self.trim1()
+        self.trim2()
+        self.trim1()
+        self.min_label()
+
     def result(self) -> DataFrame:
+        if not self.labels:
+            return self.active.limit(0).select("v", F.col("v").alias("scc"))
         out = self.labels[0]
         for more in self.labels[1:]:
             out = out.union(more)
@@ -158,12 +168,7 @@ def full(graph: Graph, pivot: str = "least", known=None, **how) -> Plan:
     plan = Plan(graph, **how)
     if known is not None:
         plan.drop(known)
-    plan.trim1()
-    plan.global_fwbw(pivot)
-    plan.trim1()
-    plan.trim2()
-    plan.trim1()
-    plan.min_label()
+    plan.phases_of_full(pivot)
     plan.finish()
     return plan
 
@@ -189,16 +194,28 @@ def trim_tarjan(graph: Graph, **how) -> Plan:
 
 
 def coloring(graph: Graph, **how) -> Plan:
-    """Trim, then coloring rounds to the end: every step a join, for graphs of any shape."""
+    """Trim, then coloring rounds, every step a join, until what is left fits into tasks."""
     plan = Plan(graph, **how)
     plan.trim1()
-    plan.finish_coloring()
+    plan.coloring()
+    plan.finish()
+    return plan
+
+
+def auto(graph: Graph, pivot: str = "least", known: DataFrame | None = None, **how) -> Plan:
+    """A graph that fits into a task goes there whole, a larger one through the main plan."""
+    plan = Plan(graph, **how)
+    if known is not None:
+        plan.drop(known)
+    if plan.active.count() + plan.edges.count() > plan.local_rows:
+        plan.phases_of_full(pivot)
+    plan.finish()
     return plan
 
 
-STRATEGIES = {"baseline": baseline, "global_fb": global_fb, "full": full, "tarjan": tarjan, "trim_tarjan": trim_tarjan, "coloring": coloring}
+STRATEGIES = {"baseline": baseline, "global_fb": global_fb, "full": full, "tarjan": tarjan, "trim_tarjan": trim_tarjan, "coloring": coloring, "auto": auto}
 
 
-def scc(graph: Graph, strategy: str = "full", **how) -> DataFrame:
+def scc(graph: Graph, strategy: str = "auto", **how) -> DataFrame:
     """labels(v, scc) of every vertex."""
     return STRATEGIES[strategy](graph, **how).result()
