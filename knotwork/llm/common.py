@@ -63,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken) -> str:
+    """A column name like `name` that isn't taken (names differ in more than case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32(key as text) mod modulus; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

@@ -115,10 +115,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     sure = near.filter(F.col("block") == first_block).withColumn("sim", similarity_of(F.col("bag"), F.col("item_bag"))).filter(F.col("sim") >= similarity)
     leaks = sure.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("sim").alias("best")).withColumnsRenamed({"_id": "_i", "_hash": "_h"})
 
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
+    # the columns carried along stand in one struct, so no name can clash
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    out = docs.select(row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"))
     out = out.join(leaks, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
     empty = F.array().cast(leaks.schema["item_ids"].dataType)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.isnotnull("item_ids").alias("leaked"), F.coalesce("item_ids", empty).alias("item_ids"), "best")
+    return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(kept)], F.isnotnull("item_ids").alias("leaked"), F.coalesce("item_ids", empty).alias("item_ids"), "best")
 
 
 # --- query ---------------------------------------------------------------------------

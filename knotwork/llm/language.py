@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, held_out, remainder, slices, table
+from .common import buffers, fresh, held_out, remainder, slices, table
 
 #: Labelled text for each language: bytes, and rows to choose them from, at most.
 SAMPLE_BYTES, SAMPLE_ROWS = 24_000, 64
@@ -181,22 +181,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Model(tuple(sorted(chosen)), tuple(samples))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language, and how clearly it won: the runner-up's share of the
+def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those to keep) with the predicted language, and how clearly it won: the runner-up's share of the
     two entropies, from 0.5 (a tie) to 1."""
-    kept = [c for c in docs.columns if c not in (name, score)]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (name, score)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
     if not model.languages:
         return docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(UNKNOWN).alias(name), F.lit(0.0).alias(score))
     t = F.col(f"`{text}`")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lower(t).alias("_low"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    low, letters = fresh("_low", docs.columns), fresh("_letter", docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.lower(t).alias(low), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias(letters))
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE_BYTES for each language
 
     def run(batches):
         own = _automata(shipped.value)
         names = np.array([*shipped.value.languages, UNKNOWN], object)
         for batch in batches:
-            data, offsets = buffers(batch.column("_low"))
+            data, offsets = buffers(batch.column(low))
             for i, j in slices(offsets):
                 part = batch.slice(i, j - i)
                 o = offsets[i : j + 1] - offsets[i]
@@ -205,7 +206,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "lan
                 least = h.min(0)
                 second = np.sort(h, 0)[1] if len(h) > 1 else np.ones(h.shape[1])
                 sure = np.where(least + second > 0, second / np.maximum(least + second, 1e-12), 0.5) if len(h) > 1 else np.ones(h.shape[1])
-                letter = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+                letter = part.column(letters).to_numpy(zero_copy_only=False).astype(bool)
                 best = np.where(letter, best, len(names) - 1)
                 sure = np.where(letter, sure, 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(names[best], pa.string()), pa.array(sure)], names=[*kept, name, score])
@@ -220,5 +221,5 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from ids whose crc32 mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(remainder(F.col("doc_id"), 5) != 0))
-    found = identify(docs.select("doc_id", "text"), model)
+    found = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .native import let, lower_ascii, running_sums
 
 Query = tuple  # ("all",) | ("has", trigram) | ("and", queries) | ("or", queries)
@@ -218,23 +218,28 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Seq
     queries = [trigram_query(r.pattern) for r in rules]
     indexed = [i for i, q in enumerate(queries) if q != ALL]
     kept = [c for c in docs.columns if c != "spans"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    # the columns carried along stand in one struct, so no name can clash
+    row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept) if c != text])
+    rows = docs.select(row.alias("_row"), F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`").alias("_raw"))
+    whole = F.coalesce("_raw", F.lit(""))
     if indexed:
         wanted = sorted(set().union(*(trigrams(queries[i]) for i in indexed)))
-        index = postings(rows.select("_id", "_hash", "_text"), ["_id", "_hash"], "_text", wanted)
+        index = postings(rows.select("_id", "_hash", whole.alias("_text")), ["_id", "_hash"], "_text", wanted)
         found = candidates(index, ["_id", "_hash"], wanted, [queries[i] for i in indexed]).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
         rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    each = [F.when(F.col(f"c{indexed.index(i)}"), rule_spans(F.col("_text"), i, r)).otherwise(none) if i in indexed else rule_spans(F.col("_text"), i, r) for i, r in enumerate(rules)]
+    each = [F.when(F.col(f"c{indexed.index(i)}"), rule_spans(whole, i, r)).otherwise(none) if i in indexed else rule_spans(whole, i, r) for i, r in enumerate(rules)]
     names = F.array(*[F.lit(r.kind) for r in rules])
     spans = F.transform(F.array_sort(F.concat(*each)), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["kind"] + 1).alias("kind"), s["end"].alias("end")))
-    return rows.select(*[F.col(f"`{c}`") for c in kept], spans.alias("spans"))
+    back = [F.col("_raw").alias(c) if c == text else F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(kept)]
+    return rows.select(*back, spans.alias("spans"))
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs with every found span replaced by its kind in brackets; overlapping spans become
     one. Null text stays null; the other columns are unchanged."""
-    found = scan(docs, doc_id, text, rules)
+    own = fresh("_spans", docs.columns)
+    found = scan(docs.withColumnRenamed("spans", own), doc_id, text, rules)
     t = F.col(f"`{text}`")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -244,7 +249,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: S
         return F.when(s["start"] >= acc["at"], new).when(s["end"] > acc["at"], longer).otherwise(acc)
 
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], t.substr((acc["at"] + 1).cast("int"), F.length(t))))
-    return found.select(*[F.when(F.size("spans") > 0, clean).otherwise(t).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[F.when(F.size("spans") > 0, clean).otherwise(t).alias(text) if c == text else F.col(f"`{own if c == 'spans' else c}`").alias(c) for c in docs.columns])
 
 
 # --- query ---------------------------------------------------------------------------

@@ -98,7 +98,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     if redirects is not None:
         more = redirects.select("src", "dst")
         found = more if found is None else found.union(more)
-    rows = pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), path.alias("path"), F.xxhash64(node(F.col(url))).alias("_node"), F.isnotnull(node(F.col(url))).alias("_known"))
+    row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])  # no name can clash
+    back = [F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(own)]
+    rows = pages.select(row.alias("_row"), host.alias("host"), path.alias("path"), F.xxhash64(node(F.col(url))).alias("_node"), F.isnotnull(node(F.col(url))).alias("_known"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("_own", verdict)
 
@@ -110,7 +112,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
         if linked.isEmpty():
             linked = None
     if linked is None:
-        return rows.select(*own, "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("n_aliases"), F.lit(False).alias("inherited"))
+        return rows.select(*back, "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("n_aliases"), F.lit(False).alias("inherited"))
     label = stored(components(linked.select(F.xxhash64("s").alias("u"), F.xxhash64("d").alias("v"))), "classes")
     urls = linked.select(F.col("s").alias("n")).union(linked.select("d")).distinct()
     h, p = split_url(F.col("n"))
@@ -121,7 +123,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     out = rows.join(by_node, "_node", "left")
     blocked = F.coalesce(F.col("_known") & F.col("_block"), F.lit(False))
     return out.select(
-        *own, "host", "path", "rule",
+        *back, "host", "path", "rule",
         F.coalesce("_own", F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.when(F.col("_known"), F.col("n") - 1).alias("n_aliases"),
         (F.isnull("_own") & blocked).alias("inherited"),
