@@ -9,8 +9,8 @@ clearly too low are dropped, the rest are confirmed on their full sets: intersec
 >= 0.75.
 
 Only links that can still join two components are confirmed. First every class tries the
-likeliest of its buckets' least members; then, twice, the likeliest member of another component
-in its part of a bucket (a bucket is cut into parts of bounded size). Components that still have
+likeliest of its buckets' least members; then the likeliest member of another component in its
+part of a bucket (a bucket is cut into parts of bounded size). Components that still have
 likely candidates in each other form families. Within a family, every member outside the largest
 component is held against every member, in blocks of full sets, and each block reports only
 links that join components: so no candidate pair is left untested, and none is written down. A
@@ -131,7 +131,7 @@ def _packed_sets(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) ->
                     f1[has] = np.add.reduceat(mix(sets), off[:-1][has])
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(f1.view(np.int64)), pa.array(raw, pa.binary())], names=["rep", "f1", "set"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(classes.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     found = rows.mapInArrow(run, "rep long, f1 long, set binary")
     return found.join(classes.select("rep", "f1", "cid"), ["rep", "f1"]).groupBy("cid").agg(F.first("set").alias("set"))
 
@@ -300,7 +300,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
     classes = stored(useful.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select(named, "*"), "classes")
     every = stored(classes.select("cid", F.explode("keys").alias("key")).distinct(), "buckets")
     busy = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    buckets = stored(every.join(busy, "key"), "buckets")
+    buckets = stored(every.join(busy.hint("merge"), "key"), "buckets")  # the same plan at every size
     mates = stored(classes.drop("keys").join(buckets.select("cid").distinct(), "cid", "left_semi"), "mates")
     sets = stored(_packed_sets(docs, mates, doc_id, text), "sets")
     room = (numerator, denominator)
@@ -309,9 +309,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
         return stored(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "cid"), "labels")
 
     sure = stored(confirmed(_first_links(buckets, mates, *room), sets, *room), "links")
-    for _ in range(2):
-        parts = _parts(buckets, mates, labels(sure))
-        sure = stored(sure.union(confirmed(_likeliest(parts, room), sets, *room)), "links")
+    parts = _parts(buckets, mates, labels(sure))
+    sure = stored(sure.union(confirmed(_likeliest(parts, room), sets, *room)), "links")
     label = labels(sure)
     families = components(_related(_parts(buckets, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family"))
     sure = sure.union(_family_links(families, mates, label, sets, *room))
