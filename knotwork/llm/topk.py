@@ -14,7 +14,8 @@ Vectors that are null or hold null or non-finite components, and rows with a nul
 part. Shorter vectors count as padded with zeros; empty ones score 0. A query's own row is any
 row with its id. Repeated rows are ranked each for itself; repeated query rows each get their
 own k rows. Ties go to the smaller id. An empty table gives no rows; where fewer than k
-candidates exist, all are returned. Extra columns are ignored."""
+candidates exist, all are returned. Extra columns are ignored. Scores must fit into 64 bits; beyond that
+search() fails rather than wrap around."""
 
 from __future__ import annotations
 
@@ -127,6 +128,8 @@ def _best(block: dict, chunk: dict, k: int):
     exact_x = sum(_segments(block, width, np.int64).values(), np.zeros((len(ids), width), np.int64))
     exact_q = sum(_segments(chunk, width, np.int64).values(), np.zeros((len(queries), width), np.int64))
     most = float(np.abs(exact_x).max(initial=0)) * float(np.abs(exact_q).max(initial=0)) * width
+    if most >= 1 << 63:
+        raise OverflowError("scores don't fit into 64 bits")
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None
     got = []
     if kind is not None:
@@ -138,7 +141,6 @@ def _best(block: dict, chunk: dict, k: int):
         q_ids = queries[at : at + STRIP]
         own = q_ids[:, None] == ids[None, :]
         if kind is None:  # integers too large for floats: score them all
-            score = exact_q[at : at + STRIP].astype(object) @ exact_x.T.astype(object)
             rows, cols = np.nonzero(~own)
             got.append((rows + at, cols))
             continue
