@@ -25,10 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back. The copy survives the loss of
-    executors, df is computed once, and plans stay short however many rounds a loop takes."""
+    executors, df is computed once, and plans stay short however many rounds a loop takes. It
+    goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
