@@ -37,28 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and what
-    reads it again survives the loss of any executor."""
+    reads it again survives the loss of any executor. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     writer = df.write.option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by stored() once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    for f in df.inputFiles()[:1]:
-        path = f[: f.rfind("/")]
-        if base.split(":", 1)[-1].rstrip("/") in path:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
