@@ -103,14 +103,14 @@ def topological_levels(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(v, level) in a DAG: the longest path from a vertex without in-edges; isolated ones 0.
     Vertices on or behind a cycle get no row."""
     e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    left, done, level = cut(vertices.select("v")), [], 0
-    while True:
-        free = cut(left.join(e.select(F.col("dst").alias("v")).distinct(), "v", "left_anti").select("v", F.lit(level).cast("long").alias("level")))
-        if free.isEmpty():
-            break
-        done.append(free)
-        left = cut(left.join(free.select("v"), "v", "left_anti"))
-        e = cut(e.join(free.select(F.col("v").alias("src")), "src", "left_anti"))
+    free = cut(vertices.select("v").distinct().join(e.select(F.col("dst").alias("v")).distinct(), "v", "left_anti"))
+    done, level = [], 0
+    while not free.isEmpty():
+        done.append(free.select("v", F.lit(level).cast("long").alias("level")))
+        gone = free.select(F.col("v").alias("src"))
+        reached = e.join(gone, "src", "left_semi").select(F.col("dst").alias("v")).distinct()
+        e = cut(e.join(gone, "src", "left_anti"))
+        free = cut(reached.join(e.select(F.col("dst").alias("v")).distinct(), "v", "left_anti"))
         level += 1
     if not done:
         return vertices.select("v").limit(0).withColumn("level", F.lit(0).cast("long"))
