@@ -1,6 +1,5 @@
 """Operators 2, 5, 8 and 9, and the pipeline: brute-force versions and edge cases."""
 
-import os
 import random
 import re
 from collections import Counter
