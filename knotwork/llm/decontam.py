@@ -2,8 +2,9 @@
 
 A document leaks an item if some window of the item's size in words has a weighted Jaccard
 similarity of `similarity` or more with the item: shingles of five words, weighted by how often
-they occur (an item with fewer words is one shingle). Such a window shares a shingle with the
-item, so windows are laid where a document's shingle equals one of an item's, aligned on it.
+they occur (an item with fewer words is one shingle). Such a window shares with the
+items of that size so many shingles that it could be similar enough; windows are laid at all
+starts where it does, whatever the shingles' order.
 Each window gets a 64-bit SimHash. The items' fingerprints are indexed by blocks: two
 fingerprints within `radius` bits agree to within radius // blocks bits in at least one block
 (pigeonhole), so every item is entered under all block values that near, and windows look up
@@ -27,7 +28,7 @@ from .native import let, words
 
 SHINGLE, SIMILARITY = 5, 0.75
 BITS, BLOCKS, RADIUS = 64, 8, 23
-#: The items' shingles are broadcast up to this many rows of 24 bytes, else shuffled.
+#: The items' shingles, and the laid windows, are broadcast up to this many, else shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -68,6 +69,27 @@ def similarity_of(a: Column, b: Column) -> Column:
     return let(both, lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1)))
 
 
+def window_starts(similarity: float) -> Column:
+    """Starts of all windows that hold enough shared shingles to be similar enough, each once;
+    from the sorted offsets p of the shingles that a document of k words shares with items of m
+    words, in shingles of n words. A start belongs to the first shared shingle at or behind it."""
+    k, m, n, p = (F.col(c) for c in ("k", "m", "n", "p"))
+    size = F.least(m, k)
+    held = size - n + 1
+    # x shared of held and of the item's m - n + 1: x / (held + m - n + 1 - x) is similarity or more
+    need = F.greatest(F.lit(1), F.ceil((held + m - n + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
+
+    def span(need: Column) -> Column:
+        def of(j: Column) -> Column:
+            low = F.greatest(F.lit(0), F.get(p, j + need - 1) - held + 1, F.coalesce(F.get(p, j - 1) + 1, F.lit(0)))
+            return F.struct(low.alias("low"), F.least(F.get(p, j), k - size).alias("high"))
+
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(p) - need), of), lambda s: s["low"] <= s["high"])
+        return F.flatten(F.transform(found, lambda s: F.sequence(s["low"], s["high"])))
+
+    return let(need, lambda x: F.when(F.size(p) >= x, span(x)).otherwise(F.array().cast("array<int>")))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with leaked (boolean), item_ids (sorted array of the leaked items) and best (the
     highest similarity found, null if none is high enough)."""
@@ -78,7 +100,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{item_text}`")).alias("w")).filter("item is not null and size(w) > 0")
     items = items.select("item", F.size("w").alias("m"), shingles(F.col("w")).alias("bag")).distinct()
     items = stored(items.withColumn("print", simhash(F.col("bag"))), "items")
-    anchors = items.select("item", "m", F.least("m", F.lit(SHINGLE)).alias("n"), F.posexplode("bag").alias("offset", "h")).select("m", "n", "offset", "h").distinct()
+    anchors = items.select("m", F.least("m", F.lit(SHINGLE)).alias("n"), F.explode("bag").alias("h")).distinct()
     rows, sizes = anchors.agg(F.count("*"), F.collect_set("n")).first()  # at most SHINGLE sizes
 
     base = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), words(F.col(f"`{text}`")).alias("w"))
@@ -89,17 +111,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         return F.when(F.size("w") >= size, found).otherwise(none)
 
     here = base.select("*", F.explode(F.concat(none, *[spots(n) for n in sorted(sizes)])).alias("s")).select("_id", "_hash", "w", F.col("s.at").alias("at"), F.col("s.n").alias("n"))
-    here = here.withColumn("h", F.xxhash64(F.slice("w", F.col("at") + 1, F.col("n"))))
-    # a window starts where the item would, moved inside the document
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("w") - F.col("m")))
-    if rows <= BROADCAST_ROWS:
-        found = here.join(F.broadcast(anchors), ["h", "n"]).select("_id", "_hash", "m", first.alias("first"), F.slice("w", first + 1, F.col("m")).alias("win"))
-        windows = found.groupBy("_id", "_hash", "m", "first").agg(F.first("win").alias("win"))
-    else:
-        short = here.select("_id", "_hash", "at", "n", "h", F.size("w").alias("size")).join(anchors, ["h", "n"])
-        moved = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("m")))
-        spot = short.select("_id", "_hash", "m", moved.alias("first")).distinct().withColumnsRenamed({"_id": "_i", "_hash": "_h"})
-        windows = base.dropDuplicates(["_id", "_hash"]).join(spot, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "m", "first", F.slice("w", F.col("first") + 1, F.col("m")).alias("win"))
+    here = here.select("_id", "_hash", F.size("w").alias("k"), "at", "n", F.xxhash64(F.slice("w", F.col("at") + 1, F.col("n"))).alias("h"))
+    hits = here.join(F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors, ["h", "n"])
+    hits = hits.groupBy("_id", "_hash", "m", "n", "k").agg(F.sort_array(F.collect_set("at")).alias("p"))
+    starts = hits.select("_id", "_hash", "m", F.explode(window_starts(similarity)).alias("first"))
+    spot = stored(starts.groupBy("_id", "_hash").agg(F.collect_list(F.struct("m", "first")).alias("spots")).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "windows")
+    laid = spot.agg(F.sum(F.size("spots"))).first()[0] or 0
+    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`").alias("_raw"))
+    texts = texts.join(F.broadcast(spot) if laid <= BROADCAST_ROWS else spot, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+    cut = let(words(F.col("_raw")), lambda w: F.transform("spots", lambda s: F.struct(s["m"].alias("m"), s["first"].alias("first"), F.slice(w, s["first"] + 1, s["m"]).alias("win"))))
+    windows = texts.select("_id", "_hash", F.explode(cut).alias("s")).groupBy("_id", "_hash", F.col("s.m").alias("m"), F.col("s.first").alias("first")).agg(F.first("s.win").alias("win"))
     windows = windows.select("_id", "_hash", "m", shingles(F.col("win")).alias("bag")).withColumn("print", simhash(F.col("bag")))
 
     # multi-index: an entry for each block and each value near the item's own

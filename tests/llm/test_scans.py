@@ -62,6 +62,19 @@ def test_decontamination(spark, monkeypatch, rows):
     assert all(r.leaked == bool(r.item_ids) and r._id == "kept" for r in got)
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_decontamination_swapped(spark, monkeypatch, rows):
+    """Halves and sentences of an item in another order: only unaligned windows are similar."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    w, x, y = [f"w{i}" for i in range(60)], [f"x{i}" for i in range(100)], [f"y{i}" for i in range(100)]
+    items = [(1, " ".join(w)), (2, "not in any text of these")]
+    orders = [w[30:] + w[:30], w[40:] + w[:20] + w[20:40], w[20:40] + w[:20] + w[45:]]
+    docs = [(i, " ".join(x + o + y)) for i, o in enumerate(orders)] + [(5, " ".join(orders[0])), (6, " ".join(x + w[30:] + y + w[:30])), (7, " ".join(orders[0][:57]))]
+    got = {r.doc_id: r for r in decontam.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: r.item_ids for i, r in got.items()} == {i: brute_leaks(t, items) for i, t in docs}
+    assert got[0].item_ids == [1] and abs(got[0].best - 52 / 60) < 1e-9
+
+
 def test_decontamination_empty(spark):
     docs, none = spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert [r.leaked for r in decontam.find_leaks(docs, none).collect()] == [False]
