@@ -229,3 +229,41 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
     ones = quality.fit(docs, labels.filter("quality = 1"), "quality")
     assert not ones.rules and quality.score(docs.filter("false"), ones).count() == 0
+
+
+def test_quality_sample(spark, monkeypatch):
+    """More than 8 000 labelled rows are all fitted on."""
+    docs = spark.range(9_000).selectExpr("id as doc_id", "concat('w', id) as text")
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: (len(x), len(y)))
+    assert quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), "quality") == (9_000, 9_000)
+
+
+def test_quality_fit_is_whole(monkeypatch):
+    """48 trees, 250 rounds, and the penalty with the least loss, however near a stronger one is."""
+    rng = np.random.default_rng(3)
+    x, y = rng.random((400, len(quality.STATISTICS))), (np.arange(400) % 2).astype(float)
+    trees, used = [], []
+    real = quality._tree
+    monkeypatch.setattr(quality, "_tree", lambda *a: trees.append(1) or real(*a))
+
+    def nearer(x, *args):  # a stronger penalty is a little worse, within any standard error
+        penalty = next(a for a in args if isinstance(a, float))
+        used.append(penalty)
+        return (penalty, np.zeros(x.shape[1]))
+
+    rounds = quality._lasso.__defaults__[-1]
+    monkeypatch.setattr(quality, "_lasso", nearer)
+    y[:] = rng.permutation(y)
+    quality.fit_rules(x, y)
+    assert len(trees) == 48 and rounds == 250 and used[-1] != quality.PENALTIES[0]
+
+
+def test_lasso_in_blocks():
+    """A fit on rows of a boolean matrix, a block at a time, is the fit on their dense copy."""
+    rng = np.random.default_rng(4)
+    x, rows = rng.random((1500, 7)) < 0.4, np.arange(0, 1500, 2)
+    y = (x[rows, 0] ^ (rng.random(len(rows)) < 0.2)).astype(float)
+    bias, w = quality._lasso(x, rows, y, 0.001, (0.0, np.zeros(7)))
+    p = 1 / (1 + np.exp(-(x[rows] @ w.astype(float) + bias)))
+    slope = x[rows].T @ (p - y) / len(y)
+    assert abs((p - y).mean()) < 1e-4 and all(abs(g + 0.001 * np.sign(v)) < 2e-4 if v else abs(g) < 0.0012 for g, v in zip(slope, w))
