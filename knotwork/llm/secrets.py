@@ -55,6 +55,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+_KEY_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: Between the lines of a key: white space, or line ends written as escapes.
+_GAP = r"(?:\s|\\[rn])*+"
+#: A key goes on to its END line; where that is missing (before other dashes), over header fields
+#: and the base64 lines that follow, with a shorter last one.
+_KEY_BODY = (
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):\s*+[^\s\\]++)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    r"""(?:(?<=[A-Za-z0-9+/]{16})(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t]*+|[ ])[A-Za-z0-9+/]++(?:={1,2}|(?=\s*+$|\r?\n|\\[rn]|["'])))?)"""
+)
 #: Further public token formats, and blocks of private keys.
 MORE = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -62,7 +72,7 @@ MORE = (
     Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
-    Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private", _KEY_HEADER + _KEY_BODY),
 )
 RULES = BASE + MORE
 
@@ -274,7 +284,7 @@ def _sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    as_given = {"access": Rule("access", "AKIA[A-Z0-9]+", 0, 16), "hex": Rule("hex", "[0-9a-f]+", 0, 32)}
+    as_given = {"access": Rule("access", "AKIA[A-Z0-9]+", 0, 16), "hex": Rule("hex", "[0-9a-f]+", 0, 32), "private": Rule("private", _KEY_HEADER)}
     parts = []
     for i, r in enumerate(as_given.get(r.kind, r) for r in RULES):
         p = quoted(r.pattern)

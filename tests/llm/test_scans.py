@@ -140,6 +140,27 @@ def test_secrets_against_brute_force(spark):
     assert secrets.scan(df.filter("false")).count() == 0
 
 
+def test_private_keys_to_their_end(spark):
+    """Span and mask cover the base64 lines and the END line, or the base64 run without one."""
+    rng = random.Random(9)
+    lines = lambda n, last=20: ["".join(rng.choice("ABCxyz059+/") for _ in range(64)) for _ in range(n)] + ["q7" * (last // 2)]
+    begin, end = "-----BEGIN {}PRIVATE KEY-----".format, "-----END {}PRIVATE KEY-----".format
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    keys = [
+        "\n".join([begin("RSA "), *lines(5), end("RSA ")]), "\r\n".join([begin(""), *lines(3), end("")]), "\\n".join([begin("EC "), *lines(2), end("EC ")]), " ".join([begin(""), *lines(4), end("")]),
+        begin("RSA ") + "\n" + fields + "\n".join([*lines(3), end("RSA ")]), "\n".join([begin("OPENSSH "), *lines(6)]), "\n".join([begin(""), *lines(4, 6)]), " ".join([begin(""), *lines(2, 6)]) + "==",
+        begin("RSA ") + "\n" + fields + "\n".join(lines(2)), "\n".join([begin(""), *lines(3000), end("")]), begin(""),
+    ]
+    docs = [(i, f"before {k}\nThen prose - with -- dashes, 12 words.") for i, k in enumerate(keys)]
+    docs += [(50, f"{keys[5]}\n{keys[0]} {keys[1]} of two"), (51, begin("") + " is the first line of a key - not a key"), (52, begin("") + " a-b--c " * 20_000)]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(got[i] == "before [private]\nThen prose - with -- dashes, 12 words." for i in range(len(keys)))
+    assert got[50] == "[private]\n[private] [private] of two" and got[51] == "[private] is the first line of a key - not a key" and got[52] == "[private]" + " a-b--c " * 20_000
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "private"] for r in secrets.scan(df).collect()}
+    assert all(spans[i] == [(7, 7 + len(k))] for i, k in enumerate(keys))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(list(enumerate(SECRETS)), DOCS).withColumn("spans", F.lit("own"))
     for r in secrets.redact(df).collect():
