@@ -12,7 +12,9 @@ their own block values: no item within the radius is missed. Candidates are veri
 exact weighted similarity.
 
 Null or blank texts and items have no words and match nothing. A document shorter than an
-item is one window. Repeated documents are judged alike, each row once; repeated items all
+item is one window. Very long texts are taken whole, in steps proportional to their length: of
+each shingle only a number is looked up, and windows are cut from the text once. Ties: every
+item at the least similarity or above counts. Repeated documents are judged alike, each row once; repeated items all
 count, under their own ids; an item with a null id has none to be reported and is left out.
 Empty tables give no leaks. Extra columns are carried through by find_leaks() unless they clash
 with an output column, which then replaces them. A-Z is lower-cased; words are runs of
@@ -103,15 +105,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     anchors = items.select("m", F.least("m", F.lit(SHINGLE)).alias("n"), F.explode("bag").alias("h")).distinct()
     rows, sizes = anchors.agg(F.count("*"), F.collect_set("n")).first()  # at most SHINGLE sizes
 
-    base = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), words(F.col(f"`{text}`")).alias("w"))
-    none = F.array().cast("array<struct<at:int,n:int>>")
+    # one pass over the bound words gives all shingle hashes; only numbers are exploded
+    found = "array<struct<k:int,at:int,n:int,h:bigint>>"
 
-    def spots(size: int) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.struct(i.alias("at"), F.lit(size).alias("n")))
-        return F.when(F.size("w") >= size, found).otherwise(none)
+    def spots(w: Column, size: int) -> Column:
+        here = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(F.size(w).alias("k"), i.alias("at"), F.lit(size).alias("n"), F.xxhash64(F.slice(w, i + 1, F.lit(size))).alias("h")))
+        return F.when(F.size(w) >= size, here).otherwise(F.array().cast(found))
 
-    here = base.select("*", F.explode(F.concat(none, *[spots(n) for n in sorted(sizes)])).alias("s")).select("_id", "_hash", "w", F.col("s.at").alias("at"), F.col("s.n").alias("n"))
-    here = here.select("_id", "_hash", F.size("w").alias("k"), "at", "n", F.xxhash64(F.slice("w", F.col("at") + 1, F.col("n"))).alias("h"))
+    read = let(words(F.col(f"`{text}`")), lambda w: F.concat(F.array().cast(found), *[spots(w, n) for n in sorted(sizes)]))
+    here = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), read.alias("r")).select("_id", "_hash", F.inline("r"))
     hits = here.join(F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors, ["h", "n"])
     hits = hits.groupBy("_id", "_hash", "m", "n", "k").agg(F.sort_array(F.collect_set("at")).alias("p"))
     starts = hits.select("_id", "_hash", "m", F.explode(window_starts(similarity)).alias("first"))
@@ -154,6 +156,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaked", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.round("best", 6).alias("best"))
 
 
+#: Every window of an item's size is tried, at every start; those without a common shingle have
+#: similarity 0.
 _W = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 SQL = f"""
 WITH i AS (SELECT item_id, w, len(w) AS m, least(len(w), 5) AS n FROM (SELECT item_id, {_W} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
@@ -161,14 +165,10 @@ ia AS (SELECT item_id, m, n, o, array_to_string(w[o + 1 : o + n], ' ') AS s FROM
 ib AS (SELECT item_id, s, count(*) AS c FROM ia GROUP BY ALL),
 d AS (SELECT doc_id, w, len(w) AS k FROM (SELECT doc_id, {_W} AS w FROM documents)),
 da AS (SELECT doc_id, k, p, n, array_to_string(w[p + 1 : p + n], ' ') AS s FROM (SELECT d.*, z.n, unnest(range(0, k - z.n + 1)) AS p FROM d, (SELECT DISTINCT n FROM i) z)),
-wi AS (SELECT DISTINCT doc_id, item_id, m, greatest(0, least(p - o, k - m)) AS f FROM da JOIN ia USING (s, n)),
-ws AS (SELECT doc_id, item_id, f, m, w[f + 1 : f + m] AS x FROM wi JOIN d USING (doc_id)),
-wb AS (SELECT doc_id, item_id, f, s, count(*) AS c FROM (SELECT doc_id, item_id, f, array_to_string(x[j + 1 : j + least(len(x), 5)], ' ') AS s
-    FROM (SELECT *, unnest(range(0, len(x) - least(len(x), 5) + 1)) AS j FROM ws)) GROUP BY ALL),
-wt AS (SELECT doc_id, item_id, f, sum(c) AS t FROM wb GROUP BY ALL),
-it AS (SELECT item_id, sum(c) AS t FROM ib GROUP BY ALL),
-mn AS (SELECT doc_id, item_id, f, sum(least(wb.c, ib.c)) AS x FROM wb JOIN ib USING (item_id, s) GROUP BY ALL),
-ok AS (SELECT doc_id, item_id, max(x / (wt.t + it.t - x)) AS sim FROM mn JOIN wt USING (doc_id, item_id, f) JOIN it USING (item_id) GROUP BY ALL HAVING sim >= 0.75),
+hit AS (SELECT DISTINCT doc_id, item_id, m, n, least(m, k) AS z, k, p, s FROM da JOIN ia USING (s, n)),
+wb AS (SELECT doc_id, item_id, m, n, z, f, s, count(*) AS c FROM (SELECT *, unnest(range(greatest(0, p + n - z), least(p, k - z) + 1)) AS f FROM hit) GROUP BY ALL),
+mn AS (SELECT doc_id, item_id, m, n, z, f, sum(least(wb.c, ib.c)) AS x FROM wb JOIN ib USING (item_id, s) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, max(x / ((z - n + 1) + (m - n + 1) - x)) AS sim FROM mn GROUP BY ALL HAVING sim >= 0.75),
 g AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(sim) AS best FROM ok GROUP BY doc_id)
 SELECT documents.doc_id, g.doc_id IS NOT NULL AS leaked, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, round(best, 6) AS best
 FROM documents LEFT JOIN g USING (doc_id)

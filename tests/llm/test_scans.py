@@ -75,6 +75,20 @@ def test_decontamination_swapped(spark, monkeypatch, rows):
     assert got[0].item_ids == [1] and abs(got[0].best - 52 / 60) < 1e-9
 
 
+def test_decontamination_long_text(spark):
+    """Twice the words take at most some twice the time: nothing is copied for each word."""
+    import time
+
+    items = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(40)))], "item_id long, text string")
+    took = []
+    for n in (20_000, 80_000, 160_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], DOCS)
+        begun = time.monotonic()
+        assert not decontam.find_leaks(docs, items).first().leaked
+        took.append(time.monotonic() - begun)
+    assert took[2] < 2 * took[1] + 2
+
+
 def test_decontamination_empty(spark):
     docs, none = spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([], "item_id long, text string")
     assert [r.leaked for r in decontam.find_leaks(docs, none).collect()] == [False]
