@@ -22,6 +22,9 @@ non-space characters."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +44,28 @@ def shingles(ws: Column, size: int = SHINGLE) -> Column:
 
 
 def simhash(bag: Column) -> Column:
-    """64-bit SimHash of a bag of hashes: each bit is the sign of the summed signs."""
+    """64-bit SimHash of a bag of hashes: each bit is the sign of the summed signs, so it is set
+    where more than half of the hashes have it. Four bits, 16 apart, are counted in one number;
+    a bag too large for that is counted bit by bit."""
+    up = lambda x, n: F.call_function("shiftleft", x, n)
+    down = lambda x, n: F.call_function("shiftrightunsigned", x, n)
+    zero, one, four = (F.lit(x).cast("long") for x in (0, 1, 0x0001000100010001))
+
+    def sums(places: Column, shift: Column) -> Column:
+        return F.aggregate(bag, zero, lambda a, h: a + down(h, shift).bitwiseAND(places))
+
+    def quarter(total: Column, j: Column) -> Column:
+        out = zero
+        for i in range(0, BITS, 16):
+            out = out.bitwiseOR(F.when(down(total, F.lit(i)).bitwiseAND(F.lit(0xFFFF).cast("long")) * 2 > F.size(bag), up(one, j + i)).otherwise(zero))
+        return out
 
-    def bit(b: Column) -> Column:
-        votes = F.aggregate(bag, F.lit(0), lambda a, h: a + F.when(h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0, 1).otherwise(-1))
-        return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    def joined(n: int, part: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, lambda a, j: a.bitwiseOR(part(j)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
+    small = joined(16, lambda j: let(sums(four, j), lambda total: quarter(total, j)))
+    large = joined(BITS, lambda b: F.when(sums(one, b) * 2 > F.size(bag), up(one, b)).otherwise(zero))
+    return F.when(F.size(bag) < 1 << 16, small).otherwise(large)
 
 
 def block_value(fingerprint: Column, block: Column) -> Column:
@@ -67,10 +85,29 @@ def similarity_of(a: Column, b: Column) -> Column:
     def times(bag: Column, x: Column) -> Column:
         return F.size(F.filter(bag, lambda y: y == x))
 
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
+    both = F.when(single, F.size(F.array_intersect(a, b))).otherwise(counted)
     return let(both, lambda m: m / F.greatest(F.size(a) + F.size(b) - m, F.lit(1)))
 
 
+def shared_shingles(held: int, other: int, similarity: float) -> int:
+    """How many shingles bags of these sizes must share to be similar enough."""
+    return max(1, math.ceil((held + other) * similarity / (1 + similarity) - 1e-9))
+
+
+def stride(least: int, similarity: float) -> int:
+    """The largest s so that, in a window similar enough to an item of `least` shingles or more,
+    the places divisible by s outnumber those that may hold a shingle the item lacks: one of
+    them at least holds a shared one, and documents without any such place have no leak."""
+    for s in range(math.ceil((1 + similarity) / max(1e-9, 1 - similarity)) - 1, 1, -1):
+        bound = math.ceil(1 / (1 / s - (1 - similarity) / (1 + similarity)))  # from here on it holds
+        pairs = ((held, other) for held in range(1, bound + 1) for other in range(max(held, least), int(held / similarity + 1e-9) + 1))
+        if all(held // s > held - shared_shingles(held, other, similarity) for held, other in pairs):
+            return s
+    return 1
+
+
 def window_starts(similarity: float) -> Column:
     """Starts of all windows that hold enough shared shingles to be similar enough, each once;
     from the sorted offsets p of the shingles that a document of k words shares with items of m
@@ -78,7 +115,7 @@ def window_starts(similarity: float) -> Column:
     k, m, n, p = (F.col(c) for c in ("k", "m", "n", "p"))
     size = F.least(m, k)
     held = size - n + 1
-    # x shared of held and of the item's m - n + 1: x / (held + m - n + 1 - x) is similarity or more
+    # as shared_shingles()
     need = F.greatest(F.lit(1), F.ceil((held + m - n + 1) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
 
     def span(need: Column) -> Column:
@@ -103,24 +140,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items = items.select("item", F.size("w").alias("m"), shingles(F.col("w")).alias("bag")).distinct()
     items = stored(items.withColumn("print", simhash(F.col("bag"))), "items")
     anchors = items.select("m", F.least("m", F.lit(SHINGLE)).alias("n"), F.explode("bag").alias("h")).distinct()
-    rows, sizes = anchors.agg(F.count("*"), F.collect_set("n")).first()  # at most SHINGLE sizes
+    rows = anchors.count()
+    least = {n: m for n, m in anchors.groupBy("n").agg(F.min("m")).collect()}  # at most SHINGLE rows
+    index = F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors
 
-    # one pass over the bound words gives all shingle hashes; only numbers are exploded
+    # one pass over the bound words gives the shingle hashes; only numbers are exploded
     found = "array<struct<k:int,at:int,n:int,h:bigint>>"
 
-    def spots(w: Column, size: int) -> Column:
-        here = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.struct(F.size(w).alias("k"), i.alias("at"), F.lit(size).alias("n"), F.xxhash64(F.slice(w, i + 1, F.lit(size))).alias("h")))
-        return F.when(F.size(w) >= size, here).otherwise(F.array().cast(found))
+    def shared(texts: DataFrame, step: dict[int, int]) -> DataFrame:
+        """Shingles of (_id, _hash, _raw) that items have, of those at each step-th place."""
+
+        def spots(w: Column, size: int) -> Column:
+            places = F.sequence(F.lit(0), F.size(w) - size, F.lit(step[size]))
+            here = F.transform(places, lambda i: F.struct(F.size(w).alias("k"), i.alias("at"), F.lit(size).alias("n"), F.xxhash64(F.slice(w, i + 1, F.lit(size))).alias("h")))
+            return F.when(F.size(w) >= size, here).otherwise(F.array().cast(found))
+
+        read = let(words(F.col("_raw")), lambda w: F.concat(F.array().cast(found), *[spots(w, n) for n in sorted(step)]))
+        return texts.select("_id", "_hash", read.alias("r")).select("_id", "_hash", F.inline("r")).join(index, ["h", "n"])
 
-    read = let(words(F.col(f"`{text}`")), lambda w: F.concat(F.array().cast(found), *[spots(w, n) for n in sorted(sizes)]))
-    here = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), read.alias("r")).select("_id", "_hash", F.inline("r"))
-    hits = here.join(F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors, ["h", "n"])
+    base = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`").alias("_raw"))
+    step = {n: stride(m - n + 1, similarity) for n, m in least.items()}
+    suspects = stored(shared(base, step).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).distinct(), "suspects")
+    few = suspects.count() <= BROADCAST_ROWS
+    hits = shared(base.join(F.broadcast(suspects) if few else suspects, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_semi"), dict.fromkeys(step, 1))
     hits = hits.groupBy("_id", "_hash", "m", "n", "k").agg(F.sort_array(F.collect_set("at")).alias("p"))
     starts = hits.select("_id", "_hash", "m", F.explode(window_starts(similarity)).alias("first"))
     spot = stored(starts.groupBy("_id", "_hash").agg(F.collect_list(F.struct("m", "first")).alias("spots")).withColumnsRenamed({"_id": "_i", "_hash": "_h"}), "windows")
     laid = spot.agg(F.sum(F.size("spots"))).first()[0] or 0
-    texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`").alias("_raw"))
-    texts = texts.join(F.broadcast(spot) if laid <= BROADCAST_ROWS else spot, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+    texts = base.join(F.broadcast(spot) if laid <= BROADCAST_ROWS else spot, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
     cut = let(words(F.col("_raw")), lambda w: F.transform("spots", lambda s: F.struct(s["m"].alias("m"), s["first"].alias("first"), F.slice(w, s["first"] + 1, s["m"]).alias("win"))))
     windows = texts.select("_id", "_hash", F.explode(cut).alias("s")).groupBy("_id", "_hash", F.col("s.m").alias("m"), F.col("s.first").alias("first")).agg(F.first("s.win").alias("win"))
     windows = windows.select("_id", "_hash", "m", shingles(F.col("win")).alias("bag")).withColumn("print", simhash(F.col("bag")))
@@ -128,10 +175,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     # multi-index: an entry for each block and each value near the item's own
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     masks = F.array(*[F.lit(x).cast("long") for x in near_masks()])
-    index = items.select("item", "m", F.col("bag").alias("item_bag"), F.col("print").alias("item_print"), F.explode(blocks).alias("block"))
-    index = index.withColumn("value", F.explode(F.transform(masks, lambda x: block_value(F.col("item_print"), F.col("block")).bitwiseXOR(x))))
+    entries = items.select("item", "m", F.col("bag").alias("item_bag"), F.col("print").alias("item_print"), F.explode(blocks).alias("block"))
+    entries = entries.withColumn("value", F.explode(F.transform(masks, lambda x: block_value(F.col("item_print"), F.col("block")).bitwiseXOR(x))))
     asked = windows.withColumn("block", F.explode(blocks)).withColumn("value", block_value(F.col("print"), F.col("block")))
-    near = asked.join(index, ["m", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    near = asked.join(entries, ["m", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     # a pair met in several blocks is verified in the first of them
     agrees = [F.bit_count(block_value(F.col("print").bitwiseXOR(F.col("item_print")), F.lit(b))) <= RADIUS // BLOCKS for b in range(BLOCKS)]
     first_block = F.coalesce(*[F.when(x, F.lit(b)) for b, x in enumerate(agrees)])

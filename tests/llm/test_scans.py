@@ -75,6 +75,25 @@ def test_decontamination_swapped(spark, monkeypatch, rows):
     assert got[0].item_ids == [1] and abs(got[0].best - 52 / 60) < 1e-9
 
 
+def test_simhash(spark):
+    rng = random.Random(4)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 41, 70_000)]
+    for r in spark.createDataFrame(rows, "b array<bigint>").withColumn("h", decontam.simhash(F.col("b"))).collect():
+        assert r.h & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.b) > len(r.b))
+
+
+@pytest.mark.parametrize("least", [1, 4, 7, 8, 12, 15, 40])
+def test_stride(least):
+    """Whatever places of a similar window hold no shared shingle, some sampled place does."""
+    s = decontam.stride(least, 0.75)
+    assert 1 <= s <= 6
+    for other in range(least, least + 60):
+        for held in range(1, other + 1):
+            need = next(x for x in range(1, 10**6) if x >= 0.75 * (held + other - x) - 1e-9)
+            if need <= held:
+                assert decontam.shared_shingles(held, other, 0.75) == need and held // s > held - need
+
+
 def test_decontamination_long_text(spark):
     """Twice the words take at most some twice the time: nothing is copied for each word."""
     import time
