@@ -53,6 +53,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more rows than its share is dealt out; no more than HEAVY_KEYS keys can have that.
+LEAST_SHARE, HEAVY_KEYS = 256, 100_000
+
+
+def share_of(rows: int) -> int:
+    """How many of so many rows a key may have before salted() cuts it."""
+    return max(LEAST_SHARE, -(-rows // HEAVY_KEYS))
+
+
+def salted(many: DataFrame, one: DataFrame, on: list[str], by: str, count: str, share: int, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key of `on` and in `count` (at least) how
+    many rows of many have it. A heavy key's rows are cut into parts of about `share` by a hash
+    of `by`, and its row of one is repeated for each part, so no task gets a key whole. With
+    share = share_of(rows of many) the broadcast list of heavy keys has HEAVY_KEYS rows at most."""
+    parts = F.ceil(F.col(count) / share).cast("int")
+    heavy = one.filter(F.col(count) > share).select(*on, parts.alias("_parts"))
+    dealt = many.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def fresh(name: str, taken) -> str:
     """A column name like `name` that isn't taken (names differ in more than case)."""
     low = {c.lower() for c in taken}

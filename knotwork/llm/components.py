@@ -1,27 +1,27 @@
 """Distributed connected components by alternating large and small stars.
 
-Every step is a min-aggregation and an equi-join, so hot vertices are combined map-side and
-adaptive execution can split their join partitions; no component is ever gathered in a task."""
+Every step is a min-aggregation, combined map-side, and an equi-join in which a vertex with very
+many neighbours is cut into parts (salted): no component and no star is gathered in a task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted, share_of, stored
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, share: int) -> DataFrame:
     """Link each vertex's larger neighbours to its least neighbour (itself included)."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("u", "m"))
+    return salted(both.filter("v > u"), least, ["u"], "v", "c", share).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, share: int) -> DataFrame:
     """Link each vertex and its smaller neighbours to the least of them; e has u > v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    linked = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    linked = salted(e, least, ["u"], "v", "c", share).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -32,8 +32,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     when every edge leads to a root, a vertex that no edge leaves."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = stored(e, "cc")
+    share = share_of(2 * e.count())
     for _ in range(max_rounds):
-        e = stored(_small_star(_large_star(e)), "cc")
+        e = stored(_small_star(_large_star(e, share), share), "cc")
         roots = e.select(F.col("v").alias("node")).distinct()
         inner = e.select(F.col("u").alias("node"))
         if roots.join(inner, "node", "left_semi").isEmpty() and e.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():

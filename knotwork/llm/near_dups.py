@@ -11,11 +11,15 @@ clearly too low are dropped, the rest are confirmed on their full sets: intersec
 Only links that can still join two components are confirmed. First every class tries the
 likeliest of its buckets' least members; then the likeliest member of another component in its
 part of a bucket (a bucket is cut into parts of bounded size). Components that still have
-likely candidates in each other form families. Within a family, every member outside the largest
+likely candidates in each other are tested further: of a pair that is similar enough, the larger
+set's rarest shingles and the smaller one's have one in common (prefix filter, exact under any
+order of the shingles), so only members that share such a shingle with a member of another
+component take part, and form families. Within a family, every member outside the largest
 component is held against every member, in blocks of full sets, and each block reports only
 links that join components: so no candidate pair is left untested, and none is written down. A
 pair at similarity 0.75 misses all bands with probability (1 - 0.75 ** ROWS) ** BANDS = 2e-5,
-closer ones less.
+closer ones less. A bucket, class or component with very many members is cut into parts
+wherever it is joined.
 
 Null, empty or blank texts have no shingles and are linked with nothing. Rows with a null id
 get no component and are never linked. Rows that repeat an id are one node with all their
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, mix, randoms, shingle_hashes, slices, stored, table, word_hashes
+from .common import buffers, mix, randoms, salted, share_of, shingle_hashes, slices, stored, table, word_hashes
 from .components import components
 
 SIZE, BANDS, ROWS, BITS = 5, 40, 5, 1024
@@ -38,6 +42,8 @@ SAMPLES = BANDS * ROWS
 #: Estimates below this (four standard deviations under 0.75) are dropped without a full look.
 LEAST_ESTIMATE = 0.58
 BLOCK = 128
+#: Counters for how common a shingle is; shingles that share one only blur the order.
+SLOTS = 1 << 18
 _U = np.uint64
 _A = randoms(SAMPLES, 61) | _U(1)
 _KEY = randoms(SAMPLES, 62) | _U(1)
@@ -179,8 +185,8 @@ def _likely(numerator: int, denominator: int):
 
 def _first_links(buckets: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(x, y): for each class the likeliest of the least members of its buckets."""
-    least = buckets.groupBy("key").agg(F.min("cid").alias("y"))
-    met = buckets.join(least, "key").filter("cid <> y").select(F.col("cid").alias("x"), "y").distinct()
+    least = buckets.groupBy("key").agg(F.min("cid").alias("y"), F.count("*").alias("c"))
+    met = salted(buckets, least, ["key"], "cid", "c", share_of(buckets.count())).filter("cid <> y").select(F.col("cid").alias("x"), "y").distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
     seen = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xn", "yn", _differing("xs", "ys").alias("differ")).filter(_likely(numerator, denominator))
     return seen.groupBy("x").agg(F.min(F.struct("differ", "y")).alias("b")).select("x", "b.y")
@@ -194,8 +200,8 @@ def _parts(buckets: DataFrame, classes: DataFrame, label: DataFrame) -> DataFram
     """(key, part, parts, least, m): the members of buckets with several components, in parts."""
     named = classes.select("cid", "n", "sketch").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     where = buckets.join(named.select("cid", "comp"), "cid")
-    several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi")).filter("least <> hi").select("key", "least", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    members = buckets.join(several, "key").join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi")).filter("least <> hi").select("key", "least", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    members = salted(buckets, several, ["key"], "cid", "c", share_of(buckets.count())).join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     return members.groupBy("key", "part", "parts", "least").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m")).select("parts", "least", "m")
 
 
@@ -248,15 +254,85 @@ def _related(parts: DataFrame, room: tuple[int, int]) -> DataFrame:
     return parts.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
+def _common(sets: DataFrame) -> np.ndarray:
+    """How often each slot of shingles occurs in sets; SLOTS numbers."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for raw in batch.column("set"):
+                total += np.bincount((_unpacked(raw.as_py()) % _U(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "c"])
+
+    counted = sets.select("set").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("c").to_numpy()
+    return out
+
+
+def _prefixes(members: DataFrame, common: np.ndarray, numerator: int, denominator: int) -> DataFrame:
+    """(family, h, cid, comp, n, short): each member's rarest shingles, so many that the larger
+    set of a pair similar enough has one of them in common with the smaller one's `short` ones."""
+    order = members.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = _unpacked(batch.column("set")[i].as_py())
+                n = len(h)
+                long_, short = n + numerator * n // -denominator + 1, n + 2 * numerator * n // -(denominator + numerator) + 1
+                h = h[np.lexsort((h, order.value[(h % _U(SLOTS)).astype(np.int64)]))[:long_]]
+                one = lambda c: pa.array(np.full(len(h), batch.column(c)[i].as_py()), pa.int64())  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([one("family"), pa.array(h.view(np.int64)), one("cid"), one("comp"), pa.array(np.full(len(h), n)), pa.array(np.arange(len(h)) < short)], names=["family", "h", "cid", "comp", "n", "short"])
+
+    return members.select("family", "cid", "comp", "set").mapInArrow(run, "family long, h long, cid long, comp long, n long, short boolean")
+
+
+def _kin(prefixes: DataFrame, room: tuple[int, int]) -> DataFrame:
+    """(cid, null, null) of members that share a prefix shingle with another component's member
+    of a fitting size, and (null, u, v) of the components that meet so, linked to the least."""
+    several = prefixes.groupBy("family", "h").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi"), F.max("short").alias("short")).filter("short and least <> hi").select("family", "h", "c", "least", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    met = salted(prefixes, several, ["family", "h"], "cid", "c", share_of(prefixes.count())).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    groups = met.groupBy("family", "h", "part", "parts", "least").agg(F.collect_list(F.struct("cid", "comp", "n", "short")).alias("m")).select("parts", "least", "m")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = batch.slice(i, 1).column("m").flatten()
+                cid, comp, n = (_column(flat, c) for c in ("cid", "comp", "n"))
+                if batch.column("parts")[i].as_py() > 1:  # others of its group stand elsewhere
+                    least = batch.column("least")[i].as_py()
+                    who, u = cid, np.unique(comp[comp != least])
+                    v = np.full(len(u), least)
+                else:
+                    short = flat.field("short").to_numpy(zero_copy_only=False)
+                    small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
+                    ok = (comp[:, None] != comp[None]) & (small * room[1] >= large * room[0])
+                    ok &= np.where(n[:, None] < n[None], short[:, None], np.where(n[:, None] > n[None], short[None], short[:, None] & short[None]))
+                    who = cid[ok.any(1)]
+                    a, b = np.nonzero(ok)
+                    u, v = np.unique(np.stack([np.maximum(comp[a], comp[b]), np.minimum(comp[a], comp[b])]), axis=1)
+                if len(who):
+                    none = lambda x: pa.nulls(len(x), pa.int64())
+                    both = [pa.concat_arrays([pa.array(who), none(u)]), pa.concat_arrays([none(who), pa.array(u, pa.int64())]), pa.concat_arrays([none(who), pa.array(v, pa.int64())])]
+                    yield pa.RecordBatch.from_arrays(both, names=["cid", "u", "v"])
+
+    return groups.mapInArrow(run, "cid long, u long, v long").distinct()
+
+
 def _family_links(families: DataFrame, classes: DataFrame, label: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(x, y): links between components of a family(comp, family), enough to join all that are
     linked. Members outside the largest component meet all members, block by block."""
-    known = classes.select("cid", "n").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    members = stored(known.join(families, "comp"), "families")
+    known = classes.select("cid").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    wide = stored(known.join(families, "comp").join(sets, "cid"), "families")
+    kin = stored(_kin(stored(_prefixes(wide, _common(wide), numerator, denominator), "prefixes"), (numerator, denominator)), "kin")
+    close = components(kin.filter("cid is null").select("u", "v")).select(F.col("node").alias("comp"), F.col("component").alias("family"))
+    members = stored(wide.drop("family").join(kin.select("cid"), "cid", "left_semi").join(close, "comp"), "members")
     size = members.groupBy("family", "comp").agg(F.count("*").alias("c"))
-    big = size.groupBy("family").agg(F.max(F.struct("c", F.col("comp").alias("top"))).alias("b"), F.sum("c").alias("all")).select("family", "b.top", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("b.c")) / BLOCK).cast("int").alias("rows"))
-    full = members.join(big, "family").join(sets, "cid")
-    item = F.struct("cid", "comp", "n", "set")
+    big = size.groupBy("family").agg(F.max(F.struct("c", F.col("comp").alias("top"))).alias("b"), F.sum("c").alias("all")).select("family", "all", "b.top", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("b.c")) / BLOCK).cast("int").alias("rows"))
+    full = salted(members, big, ["family"], "cid", "all", share_of(members.count()))
+    item = F.struct("cid", "comp", "set")
     part = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(F.col(n), F.lit(1))).cast("int")
     all_ = full.withColumn("p", part("parts")).groupBy("family", "p").agg(F.collect_list(item).alias("b"))
     few = full.filter("comp <> top").withColumn("q", part("rows")).groupBy("family", "q").agg(F.first("parts").alias("parts"), F.collect_list(item).alias("a"))
@@ -295,13 +371,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
     """(id, n_shingles, component_id) of each row of docs."""
     rows = stored(signatures(docs, doc_id, text), "signatures")
     useful = rows.filter("n > 0 and id is not null")
-    # a class is named by its set, so an id with several texts may stand for several classes
-    named = F.xxhash64("f1", "f2", "n").alias("cid")
-    classes = stored(useful.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).select(named, "*"), "classes")
+    # a class is named by a number of its own, so an id with several texts may stand for several
+    named = useful.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = stored(named.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     every = stored(classes.select("cid", F.explode("keys").alias("key")).distinct(), "buckets")
     busy = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = stored(every.join(busy.hint("merge"), "key"), "buckets")  # the same plan at every size
-    mates = stored(classes.drop("keys").join(buckets.select("cid").distinct(), "cid", "left_semi"), "mates")
+    mates = stored(classes.drop("keys", "c").join(buckets.select("cid").distinct(), "cid", "left_semi"), "mates")
     sets = stored(_packed_sets(docs, mates, doc_id, text), "sets")
     room = (numerator, denominator)
 
@@ -312,16 +388,22 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
     parts = _parts(buckets, mates, labels(sure))
     sure = stored(sure.union(confirmed(_likeliest(parts, room), sets, *room)), "links")
     label = labels(sure)
-    families = components(_related(_parts(buckets, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family"))
-    sure = sure.union(_family_links(families, mates, label, sets, *room))
-    # from classes back to ids
-    of = useful.join(classes.select("f1", "f2", "n", "cid", "rep"), ["f1", "f2", "n"])
-    same = of.filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    rep = lambda c: classes.select(F.col("cid").alias(c), F.col("rep").alias(f"{c}r"))
-    across = sure.select("x", "y").join(rep("x"), "x").join(rep("y"), "y").select(F.col("xr").alias("u"), F.col("yr").alias("v"))
-    label = components(same.union(across))
-    out = rows.select("id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "id"), "id", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    families = stored(components(_related(_parts(buckets, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family")), "families")
+    if not families.isEmpty():
+        sure = sure.union(_family_links(families, mates, label, sets, *room))
+    # an id with several texts links their classes
+    again = useful.groupBy("id").agg(F.count("*").alias("times")).filter("times > 1").select("id")
+    own = useful.join(again, "id", "left_semi").select("id", "f1", "f2", "n").distinct().join(classes.select("f1", "f2", "n", "cid"), ["f1", "f2", "n"])
+    shared = own.join(own.groupBy("id").agg(F.min("cid").alias("y")), "id").select(F.col("cid").alias("x"), "y").filter("x <> y")
+    label = labels(sure.union(shared))
+    # a class's component is named by the least id of its classes
+    kind = ["f1", "f2", "n"]
+    told = stored(classes.select("cid", "rep", "c", *kind).join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
+    least = told.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    of = salted(told, least, ["component"], "cid", "k", share_of(told.count())).select(*kind, "c", "component_id")
+    linked = salted(useful.select("id", *kind), of, kind, "id", "c", share_of(rows.count()))
+    alone = rows.filter("not (n > 0 and id is not null)").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked.select("id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

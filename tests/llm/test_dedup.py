@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.llm import components, near_dups, suffix_dedup
+from knotwork.llm import common, components, near_dups, suffix_dedup
+from knotwork.llm.common import stored
 from knotwork.llm.suffix_dedup import deep_shallow
 
 DOCS = "doc_id long, text string"
@@ -129,6 +130,7 @@ def near_copies(rng, n_groups=12, copies=14):
 def test_near_duplicates_against_brute_force(spark):
     docs = near_copies(random.Random(6))
     text = docs[0][1]
+    docs += [(6000, docs[20][1]), (6000, docs[90][1]), (6000, "none of these words at all"), (6001, "none of these words at all")]
     docs += [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "ONE"), (5005, text.upper()), (None, text), (5006, text), (5006, text), (5007, "a b c d"), (5008, "a b c d e")]
     want, sizes = brute_components(docs)
     df = spark.createDataFrame(docs, DOCS).withColumn("n", F.lit("clash")).withColumn("id", F.lit("clash"))
@@ -150,6 +152,39 @@ def test_near_duplicates_in_parts(spark, monkeypatch):
     assert {r.id: r.component_id for r in near_dups.link(spark.createDataFrame(docs, DOCS)).collect()} == want
 
 
+def test_template_family(spark, monkeypatch):
+    """Pages of one template below the threshold: likely by sketch, but none shares a rare
+    shingle, so no set is held against another."""
+    seen = {}
+
+    def spy(df, name, *more):
+        out = stored(df, name, *more)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", spy)
+    template = [f"t{i}" for i in range(240)]
+    docs = [(i, " ".join(template + [f"own{i}x{j}" for j in range(50)])) for i in range(300)]  # 236 of 336 shingles in common
+    assert {r.id: r.component_id for r in near_dups.link(spark.createDataFrame(docs, DOCS)).collect()} == {i: i for i in range(300)}
+    assert seen["families"] == 300 and seen["kin"] == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose sets are just similar enough: of 400, at most 1 in 100 may be missed."""
+    docs = []
+    for i in range(400):
+        n = 100 + i % 60
+        own = n // 7 - n // 7 % 1
+        while 100 * (n - own) < 75 * (n + own):
+            own -= 1
+        words = [f"p{i}x{j}" for j in range(n + 4)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: n + 4 - own] + [f"q{i}x{j}" for j in range(own)]))]
+    want, _ = brute_components(docs[:40])
+    assert all(want[2 * i + 1] == 2 * i for i in range(20))
+    got = {r.id: r.component_id for r in near_dups.link(spark.createDataFrame(docs, DOCS)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 396
+
+
 def test_near_duplicates_edges(spark):
     assert near_dups.link(spark.createDataFrame([], DOCS)).count() == 0
     assert {r.id: r.component_id for r in near_dups.link(spark.createDataFrame([(1, None), (2, "x y")], DOCS)).collect()} == {1: 1, 2: 2}
@@ -183,3 +218,21 @@ def test_components(spark):
             parent[b] = a
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize("hub", [0, 200_000])
+def test_components_of_a_star(spark, monkeypatch, hub):
+    """A vertex with 100 000 neighbours is cut into parts, whether it is the least or the largest."""
+    leaves = spark.range(1, 100_001).select(F.lit(hub).cast("long").alias("u"), F.col("id").alias("v"))
+    got = components.components(leaves)
+    assert got.groupBy("component").count().collect() == [(min(hub, 1), 100_001)]
+
+
+def test_salted(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_SHARE", 16)
+    many = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id") % 40).alias("k"), F.col("id").alias("x"))
+    one = many.filter("k <> 3").groupBy("k").agg(F.count("*").alias("c"))
+    got = common.salted(many, one, ["k"], "x", "c", common.share_of(5000))
+    assert sorted(got.collect()) == sorted(many.join(one, "k").collect())
+    left = common.salted(many, one, ["k"], "x", "c", common.share_of(5000), "left")
+    assert left.count() == 5000 and left.filter("c is null").count() == many.filter("k = 3").count()
