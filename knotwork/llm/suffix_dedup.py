@@ -11,8 +11,10 @@ branch on single bytes and skip what a group has in common. Leaves of the tries
 strings; the least id among a leaf's texts decides for each window.
 
 Documents are packed into blocks; a block sends each distinct anchor or context once. An anchor
-with very many different surroundings (the edge of a passage that a third of all texts hold)
-is hot: its windows are dealt out singly, by their own hash, so no bucket grows with it.
+with very many surroundings, a few in each of many blocks or many in a few (the edge of a
+passage that a third of all texts hold), is hot: its windows are dealt out singly, by their own
+hash, so no bucket gets more than HOT surroundings of an anchor. Buckets and partitions follow
+the number of blocks, so what a task reads does not grow with the input.
 
 Null text counts as empty; texts shorter than LENGTH keep every byte. Rows with a null id are
 kept whole and remove nothing. Rows that repeat an id don't remove each other's bytes, as
@@ -34,10 +36,10 @@ from .suffix_tree import _merged, _pack, _rows, _steps, _unpack
 LENGTH, GRAM, SHALLOW = 50, 20, 16
 LEFT = LENGTH - GRAM  # an anchor's windows start so many bytes before it at most
 WIDTH = LEFT + LENGTH
-#: Bytes of text in a block, one document at least; and buckets at most.
-BLOCK_BYTES, MOST_BUCKETS = 10 << 20, 8192
-#: Different surroundings from which an anchor is hot, if blocks hold HOT_EACH on average.
-HOT, HOT_EACH = 4096, 4
+#: Bytes of text in a block, one document at least. There are as many buckets as blocks.
+BLOCK_BYTES = 10 << 20
+#: From so many surroundings, summed over the blocks that hold it, an anchor is hot.
+HOT = 4096
 _U = np.uint64
 _CHUNK = 1 << 19
 _BYTES = randoms(256, 31)
@@ -328,7 +330,7 @@ def _codes(hashes: DataFrame) -> DataFrame:
         for i, c in zip(at, kinds):
             several[i] |= (c & 1) > 0
         holders, around = total >> 40, total & ((1 << 40) - 1)
-        code = np.where((around >= HOT) & (around >= HOT_EACH * holders), 2, 1)
+        code = np.where(around >= HOT, 2, 1)
         code = np.where(several | (holders > 1), code, 0)
         n = group.num_rows
         none = pa.array([b""] * n, pa.binary())
@@ -530,10 +532,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, spans, kept) of each row: the removed byte spans, ends exclusive, and
     the remaining bytes."""
     blocks = stored(_blocks(docs, doc_id, text), "blocks")
-    buckets = int(min(MOST_BUCKETS, max(1, blocks.select("block").count())))
-    codes = stored(_codes(_hashes(blocks, buckets)), "codes")
-    solved = _solved(_parts(blocks, codes, buckets))
-    return _result(blocks, codes.union(solved), buckets)
+    buckets = max(1, blocks.select("block").count())
+    dealt = lambda df, key: df.repartition(buckets, key)
+    codes = stored(_codes(dealt(_hashes(blocks, buckets), "bucket")), "codes")
+    solved = _solved(dealt(_parts(dealt(blocks, "block"), dealt(codes, "block"), buckets), "bucket"))
+    return _result(dealt(blocks, "block"), dealt(codes.union(solved), "block"), buckets)
 
 
 # --- query ---------------------------------------------------------------------------------------
