@@ -91,7 +91,8 @@ def test_anchor_once_in_each_block(spark, monkeypatch):
     assert blocks.count() > 40
     codes = stored(suffix_dedup._codes(suffix_dedup._hashes(blocks, 4)), "codes")
     parts = suffix_dedup._parts(blocks, codes, 4).collect()
-    assert {r.what for r in parts} == {"w"}  # every shared anchor stands in 60 blocks
+    held = np.concatenate([np.cumsum(suffix_dedup._unpack(r["keys"]), dtype=np.uint64) for r in parts if r.what == "a"])
+    assert any(r.what == "w" for r in parts) and np.unique(held, return_counts=True)[1].max() < 20
     key = lambda r: (r[0] is None, r)
     assert sorted(removed(df), key=key) == sorted(brute_removed(docs), key=key)
 
