@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Buckets that a table has at most, whatever its size: each task then takes several keys in turn.
+MOST_BUCKETS = 100_000
 _U = np.uint64
 
 
@@ -49,6 +51,23 @@ def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """A table in the shared folder in n buckets of a key (at most MOST_BUCKETS): what groups or
+    joins such tables of equal n by the key moves no row. It goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str, n: int):
+        self.spark, self.key, self.n = spark, key, min(n, MOST_BUCKETS)
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{self.name}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write more rows, best dealt out by key already, and return the table as it is then."""
+        df.write.mode("append").format("parquet").bucketBy(self.n, self.key).option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        return self.spark.table(self.name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

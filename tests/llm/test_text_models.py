@@ -1,5 +1,6 @@
 """Operators 1, 4, 7 and 10: brute-force versions, round trips, held-out accuracy, edge cases."""
 
+import functools
 import math
 import re
 import zlib
@@ -35,87 +36,74 @@ def test_word_hashes():
 # --- 1 ----------------------------------------------------------------------------------
 
 
-def brute_tree(docs):
-    """(doc_id -> base, score, n_tokens, n_known, N) by dictionaries."""
-    d, least = suffix_tree.DEPTH, suffix_tree.LEAST
-    spelled = {i: b"".join(w + b" " for w in tokens(t)) + b"\n" for i, t, _ in docs}
-    n = [defaultdict(Counter) for _ in range(d + 1)]
-    words = Counter()
-    pads = lambda s: b"\0" * (d - 1) + b"\n" + s
-    for i, t, held in docs:
-        if not held:
-            words.update([*tokens(t), b"\n"])
-            s = pads(spelled[i])
-            for k in range(d, len(s)):
-                for depth in range(d + 1):
-                    n[depth][s[k - depth : k]][s[k]] += 1
+def brute_tree(docs, depth):
+    texts = {i: [*tokens(t), b"\n"] for i, t, _ in docs}
+    n = defaultdict(Counter)  # context: next token: count
+    for i, _, held in docs:
+        for k, w in enumerate(texts[i] if not held else []):
+            for d in range(min(k, depth) + 1):
+                n[tuple(texts[i][k - d : k])][w] += 1
+    words = n[()]
     total = sum(words.values())
-    root = n[0][b""]
-    size = sum(root.values())
 
+    @functools.cache
     def keep(ctx):
-        own, up = n[len(ctx)].get(ctx), n[len(ctx) - 1].get(ctx[1:])
-        if not own or sum(own.values()) < least:
+        own = n.get(ctx)
+        if not own or sum(own.values()) < suffix_tree.LEAST:
             return False
-        a, b = sum(own.values()), sum(up.values())
-        gain = sum(c * math.log(c / a / (up[x] / b)) for x, c in own.items())
-        return gain > len(own) * math.log(a) / 4
-
-    kept = {}
+        a = sum(own.values())
+        return sum(c * math.log(c / a / p(ctx[1:], x)) for x, c in own.items()) > len(own) * math.log(a) / 4
 
+    @functools.cache
     def p(ctx, x):
         if not ctx:
-            return (root[x] + 1) / (size + suffix_tree.SYMBOLS)
-        if ctx not in kept:
-            kept[ctx] = keep(ctx)
-        up = p(ctx[1:], x)
-        if not kept[ctx]:
-            return up
-        own = n[len(ctx)][ctx]
-        return (own[x] + len(own) * up) / (sum(own.values()) + len(own))
+            return (words[x] + 1) / (total + len(words) + 1)
+        if not keep(ctx):
+            return p(ctx[1:], x)
+        return (n[ctx][x] + len(n[ctx]) * p(ctx[1:], x)) / (sum(n[ctx].values()) + len(n[ctx]))
 
     out = {}
-    for i, t, _ in docs:
-        s, base, score, at = pads(spelled[i]), 0.0, 0.0, d
-        ts = [*tokens(t), b"\n"]
-        for w in ts:
-            m = len(w) + (w != b"\n")
-            tree = math.prod(p(s[k - d : k], s[k]) for k in range(at, at + m))
-            plain = (words[w] + 1) / (total + len(words) + 1)
-            base += math.log10(plain)
-            score += math.log10(suffix_tree.TREE_SHARE * tree + (1 - suffix_tree.TREE_SHARE) * plain)
-            at += m
+    for i, ts in texts.items():
+        base = sum(math.log10(p((), w)) for w in ts)
+        score = sum(math.log10(p(tuple(ts[max(0, k - depth) : k]), w)) for k, w in enumerate(ts))
         out[i] = (base, score, len(ts), sum(words[w] > 0 for w in ts), total)
-    return out
+    kept = [c for c in n if c and keep(c)]
+    for c in kept:  # every distribution sums to one, unseen words as one symbol
+        assert sum(p(c, w) for w in words) + p(c, b"never seen") == pytest.approx(1)
+    return out, kept
 
 
-def test_suffix_tree_against_brute_force(spark):
+@pytest.mark.parametrize("depth, tokens_in_block", [(1, 10_000), (2, 10_000), (2, 150), (3, 60)])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, depth, tokens_in_block):
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", tokens_in_block)
     rng = np.random.default_rng(2)
     vocabulary = ["the", "of", "And", "thing", "ring", "é", "x1", "and"]
     docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 30))), bool(i % 5 == 2)) for i in range(120)]
+    docs += [(200 + i, "once upon a time " * (i % 4) + "the end of it" + " and so on" * (i % 3), i % 7 == 1) for i in range(60)]
     docs += [(500, None, False), (501, "", True), (502, " \n", False), (503, "the the", True), (504, "the\tthe", True), (505, "q" * 300, True)]
-    want = brute_tree(docs)
-    frame = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").withColumn("block", F.lit("clash"))
-    got = suffix_tree.train_and_score(frame).collect()
+    want, kept = brute_tree(docs, depth)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").withColumn("block", F.lit("clash")).repartition(6)
+    got = suffix_tree.train_and_score(frame, depth).collect()
     assert len(got) == len(docs)
     for r in got:
         base, score, n, known, total = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
-        assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+        assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
 def test_suffix_tree_edges(spark):
     assert suffix_tree.train_and_score(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).count() == 0
     got = suffix_tree.train_and_score(spark.createDataFrame([(None, "a b", True), (1, "a b", True), (1, "a b", True)], "doc_id long, text string, held_out boolean")).collect()
     assert len(got) == 3 and {r.n_known for r in got} == {0} and len({r.score for r in got}) == 1
-    old = suffix_tree.BLOCK_BYTES
+    old = suffix_tree.BLOCK_TOKENS
     try:  # many blocks give what one gives
         rows = [(i, t, i % 3 == 0) for i, t in enumerate(ODD * 3)]
         one = {r.doc_id: r.score for r in suffix_tree.train_and_score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)).collect()}
-        suffix_tree.BLOCK_BYTES = 2000
+        suffix_tree.BLOCK_TOKENS = 300
         many = {r.doc_id: r.score for r in suffix_tree.train_and_score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)).collect()}
     finally:
-        suffix_tree.BLOCK_BYTES = old
+        suffix_tree.BLOCK_TOKENS = old
     assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-6) for k in one)
 
 
