@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..loop import cut
-from .traverse import reach
+from ..loop import cut, discard
+from .traverse import both_ways, reach
 from .trim import restrict
 
 
@@ -18,7 +18,8 @@ def _spread(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         got = e.join(labels.select(F.col("v").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("v")).agg(F.min("label").alias("m"))
         near = labels.join(got, "v", "left").select("v", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = near.join(labels.select(F.col("v").alias("label"), F.col("label").alias("far")), "label", "left")
-        labels = cut(jump.select("v", F.least("label", F.coalesce("far", "label")).alias("label")))
+        old, labels = labels, cut(jump.select("v", F.least("label", F.coalesce("far", "label")).alias("label")))
+        discard(old)
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels
@@ -42,6 +43,11 @@ def pivots(active: DataFrame) -> DataFrame:
     return active.groupBy("color").agg(F.min("v").alias("pivot"))
 
 
+def members_of(active: DataFrame, color) -> DataFrame:
+    """(v): the vertices of one color."""
+    return active.filter(F.col("color") == color).select("v")
+
+
 def color_sizes(active: DataFrame) -> DataFrame:
     return active.groupBy("color").agg(F.count("*").alias("n"))
 
@@ -51,10 +57,8 @@ def fwbw(active: DataFrame, edges: DataFrame, chosen: DataFrame) -> tuple[DataFr
 
     Returns classes(v, color, fw, bw) and labels(v, scc): what a pivot reaches and is reached
     from is its component, labelled by its least vertex. Edges stay inside colors, so one
-    search serves every pivot."""
-    start = chosen.select(F.col("pivot").alias("v"))
-    fw, bw = reach(edges, start), reach(edges, start, reverse=True)
-    classes = active.join(fw.withColumn("fw", F.lit(True)), "v", "left").join(bw.withColumn("bw", F.lit(True)), "v", "left")
+    search, both ways at once, serves every pivot."""
+    classes = active.join(both_ways(edges, chosen.select(F.col("pivot").alias("v"))), "v", "left")
     classes = cut(classes.select("v", "color", F.coalesce("fw", F.lit(False)).alias("fw"), F.coalesce("bw", F.lit(False)).alias("bw")))
     found = classes.filter("fw and bw")
     least = found.groupBy("color").agg(F.min("v").alias("scc"))

@@ -16,7 +16,7 @@ LOCAL_ROWS = 100_000
 class Plan:
     """The state of a running plan: active vertices, the edges inside colors, and labels."""
 
-    def __init__(self, graph: Graph, local_rows: int = LOCAL_ROWS, stop: int = 0):
+    def __init__(self, graph: Graph, local_rows: int = LOCAL_ROWS, stop: int = trim.TRIM_STOP):
         self.local_rows, self.stop = local_rows, stop
         self.active = cut(graph.vertices.select("v", F.lit(0).cast("long").alias("color")).distinct())
         self.edges = cut(trim.restrict(graph.edges, self.active))
@@ -95,36 +95,48 @@ class Plan:
             self._took("split", work)
 
     def finish(self) -> None:
-        """Until nothing is active: small colors go to tasks whole, the others on to rounds."""
+        """Until nothing is active: colors that fit into a task go to tasks whole, the others
+        are trimmed and go through a coloring round, which finds a component in every part that
+        a least vertex leads to, so a chain of components takes few rounds."""
         while not self.active.isEmpty():
             n = self.active.groupBy("color").agg(F.count("*").alias("n")).join(self.edges.groupBy("color").agg(F.count("*").alias("m")), "color", "left").select("color", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-            sizes = cut(n)
-            small = sizes.filter(F.col("n") <= self.local_rows).select("color")
-            rows = sizes.filter(F.col("n") <= self.local_rows).agg(F.sum("n")).first()[0]
+            sizes = cut(n.filter(F.col("n") <= self.local_rows))
+            rows = sizes.agg(F.sum("n")).first()[0]
             if rows:
+                self.local(sizes.select("color"), rows)
+            else:
+                self.trim1()
+                if not self.active.isEmpty():
+                    self.coloring_round()
 
-                def work():
-                    a, e = self.active.join(small, "color", "left_semi"), self.edges.join(small, "color", "left_semi")
-                    found = cut(local.finish(a, e, rows))
-                    self.labels.append(found)
-                    self.active = cut(self.active.join(small, "color", "left_anti"))
-                    self.edges = cut(self.edges.join(small, "color", "left_anti"))
-                    return (found.count(),)
+    def local(self, small: DataFrame, rows: int) -> None:
+        """Finish the colors `small`, of so many vertices and edges in all, in tasks."""
 
-                self._took("local", work)
-            else:
-                self.fwbw()
+        def work():
+            found = cut(local.finish(self.active.join(small, "color", "left_semi"), self.edges.join(small, "color", "left_semi"), rows))
+            self.labels.append(found)
+            self.active = cut(self.active.join(small, "color", "left_anti"))
+            self.edges = cut(self.edges.join(small, "color", "left_anti"))
+            return (found.count(),)
 
-    def coloring(self) -> None:
-        """Coloring rounds until no more is active than fits into a task."""
-        while self.active.count() + self.edges.count() > self.local_rows:
+        self._took("local", work)
 
-            def work():
-                self.active, self.edges, found = split.coloring_round(self.active, self.edges)
-                self.labels.append(found)
-                return (found.count(),)
+    def coloring_round(self) -> None:
+        def work():
+            self.active, self.edges, found = split.coloring_round(self.active, self.edges)
+            self.labels.append(found)
+            return (found.count(),)
+
+        self._took("coloring", work)
 
-            self._took("coloring", work)
+    def fits(self) -> bool:
+        """Whether all that is active fits into a task."""
+        return self.active.count() + self.edges.count() <= self.local_rows
+
+    def coloring(self) -> None:
+        """Coloring rounds until no more is active than fits into a task."""
+        while not self.active.isEmpty() and not self.fits():
+            self.coloring_round()
 
     def phases_of_full(self, pivot: str) -> None:
         self.trim1()
@@ -132,7 +144,8 @@ class Plan:
         self.trim1()
         self.trim2()
         self.trim1()
-        self.min_label()
+        if not self.fits():
+            self.min_label()
 
     def result(self) -> DataFrame:
         if not self.labels:
@@ -207,7 +220,7 @@ def auto(graph: Graph, pivot: str = "least", known: DataFrame | None = None, **h
     plan = Plan(graph, **how)
     if known is not None:
         plan.drop(known)
-    if plan.active.count() + plan.edges.count() > plan.local_rows:
+    if not plan.fits():
         plan.phases_of_full(pivot)
     plan.finish()
     return plan

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..loop import cut
+from ..loop import cut, discard
 
 
 def restrict(edges: DataFrame, active: DataFrame) -> DataFrame:
@@ -31,25 +31,44 @@ def trim1_once(active: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return kept, active.join(kept.select("v"), "v", "left_anti").select("v", F.col("v").alias("scc"))
 
 
+#: A plan's passes end when one removes no more than this; what is left, later phases find.
+TRIM_STOP = 100
+#: Share of the vertices that must be gone before vertices and edges are written anew.
+COMPACT_SHARE = 0.1
+
+
 def trim1(active: DataFrame, edges: DataFrame, stop: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Repeat trim1_once while a pass removes more than stop vertices: (active, edges, resolved,
-    how many). What an early stop leaves is found by later phases."""
-    resolved, total = [], 0
+    how many). A pass writes only what it removes; the rest is written when a tenth has gone."""
+    room = active.count() * COMPACT_SHARE
+    resolved, since, total, held, own = [], [], 0, 0, False
     while True:
-        _, gone = trim1_once(active, edges)
-        gone = cut(gone)
-        n = gone.count()
+        a, e = active, edges
+        if since:
+            gone = _all(since)
+            a, e = active.join(gone.select("v"), "v", "left_anti"), without(edges, gone)
+        now = cut(trim1_once(a, e)[1])
+        n = now.count()
         if n:
-            resolved.append(gone)
-            total += n
-            active = cut(active.join(gone.select("v"), "v", "left_anti"))
-            edges = cut(without(edges, gone))
+            resolved.append(now)
+            since.append(now)
+            total, held = total + n, held + n
+        if since and (n <= stop or held > room):
+            gone, old = _all(since), (active, edges)
+            active, edges = cut(active.join(gone.select("v"), "v", "left_anti")), cut(without(edges, gone))
+            for x in old if own else ():
+                discard(x)
+            since, held, own = [], 0, True
         if n <= stop:
             break
-    out = resolved[0] if resolved else active.limit(0).select("v", F.col("v").alias("scc"))
-    for more in resolved[1:]:
+    return active, edges, _all(resolved) if resolved else active.limit(0).select("v", F.col("v").alias("scc")), total
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
         out = out.union(more)
-    return active, edges, out, total
+    return out
 
 
 def _single(edges: DataFrame, own: str, other: str) -> DataFrame:
@@ -93,3 +112,15 @@ def resolve_pairs(active: DataFrame, edges: DataFrame, pairs: DataFrame) -> tupl
     if not n:
         return active, edges, gone, 0
     return cut(active.join(gone.select("v"), "v", "left_anti")), cut(without(edges, gone)), gone, n
+
+
+def trim2_repeated(active: DataFrame, edges: DataFrame, stop: int = 0, pairs=trim2) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Take pairs out while a pass finds more than stop vertices, as taking one pair out can
+    leave others alone: (active, edges, resolved, how many)."""
+    resolved, total = [], 0
+    while True:
+        active, edges, gone, n = resolve_pairs(active, edges, pairs(edges))
+        resolved.append(gone)
+        total += n
+        if n <= stop:
+            return active, edges, _all(resolved), total

@@ -172,12 +172,12 @@ def edges_reverse(spark, sf_dir):
     return fx.base(spark, sf_dir).reversed().edges
 
 
-@query(fx.sql("SELECT c_custkey AS v, count(s) AS degree FROM customer LEFT JOIN base ON s = c_custkey GROUP BY 1"))
+@query(fx.sql("SELECT v, count(s) AS degree FROM vx LEFT JOIN base ON s = v GROUP BY 1"))
 def out_degree(spark, sf_dir):
     return fx.base(spark, sf_dir).out_degrees()
 
 
-@query(fx.sql("SELECT c_custkey AS v, count(d) AS degree FROM customer LEFT JOIN base ON d = c_custkey GROUP BY 1"))
+@query(fx.sql("SELECT v, count(d) AS degree FROM vx LEFT JOIN base ON d = v GROUP BY 1"))
 def in_degree(spark, sf_dir):
     return fx.base(spark, sf_dir).in_degrees()
 
@@ -235,12 +235,12 @@ def max_out_degree(spark, sf_dir):
     return g.out_degrees().agg(F.max("degree").alias("max_out_degree"))
 
 
-@query(fx.sql("SELECT c_custkey AS v, coalesce(string_agg(d, ' ' ORDER BY d), '') AS neighbours FROM customer LEFT JOIN base ON s = c_custkey GROUP BY 1"))
+@query(fx.sql("SELECT v, coalesce(string_agg(d, ' ' ORDER BY d), '') AS neighbours FROM vx LEFT JOIN base ON s = v GROUP BY 1"))
 def adjacency_sorted(spark, sf_dir):
     return fx.base(spark, sf_dir).adjacency().select("v", F.array_join(F.col("neighbours").cast("array<string>"), " ").alias("neighbours"))
 
 
-@query(fx.sql("SELECT v, CAST(coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin, n AS degree FROM (SELECT c_custkey AS v, count(s) AS n FROM customer LEFT JOIN base ON s = c_custkey GROUP BY 1)"))
+@query(fx.sql("SELECT v, CAST(coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin, n AS degree FROM (SELECT v, count(s) AS n FROM vx LEFT JOIN base ON s = v GROUP BY 1)"))
 def csr_offsets(spark, sf_dir):
     return fx.base(spark, sf_dir).offsets()
 
@@ -256,7 +256,7 @@ def detach_vertices(spark, sf_dir):
     return g.without_vertices(g.vertices.filter("v % 7 = 0")).edges
 
 
-@query(fx.sql("SELECT a.i AS src, b.i AS dst FROM base JOIN k a ON s = a.v JOIN k b ON d = b.v WHERE s % 7 <> 0 AND d % 7 <> 0", "k AS (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey % 7 <> 0)"))
+@query(fx.sql("SELECT a.i AS src, b.i AS dst FROM base JOIN k a ON s = a.v JOIN k b ON d = b.v", "k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM vx WHERE v % 7 <> 0)"))
 def compress_graph(spark, sf_dir):
     g = fx.base(spark, sf_dir)
     return g.without_vertices(g.vertices.filter("v % 7 = 0")).compressed()[0].edges
@@ -271,8 +271,13 @@ def pick_random(spark, sf_dir):
 # --- traversal ---------------------------------------------------------------------------------
 
 
+def _bfs(edges: str = "base") -> str:
+    """Each vertex once, at its first level: without a bound on the levels."""
+    return f"q(v, l) USING KEY (v) AS (SELECT CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS l UNION SELECT e.d, l + 1 FROM q JOIN {edges} e ON e.s = q.v WHERE e.d NOT IN (SELECT v FROM recurring.q))"
+
+
 def _bfs_sql(edges: str) -> str:
-    return fx.sql("SELECT v, CAST(min(l) AS BIGINT) AS level FROM q GROUP BY v", f"e AS ({edges})", "q AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS l UNION SELECT e.d, l + 1 FROM q JOIN e ON e.s = q.v WHERE l < 60)")
+    return fx.sql("SELECT v, l AS level FROM q", f"e AS ({edges})", _bfs("e"))
 
 
 @query(_bfs_sql(fx.BASE))
@@ -290,7 +295,7 @@ def bfs_navigated(spark, sf_dir):
     return traverse.bfs(fx.base(spark, sf_dir).edges, _first_vertex(spark), navigate=lambda s, d: (s + d) % 5 != 0, visit=lambda v: (v % 11 != 0) | (v == 0))
 
 
-@query(fx.sql("SELECT level, count(*) AS n FROM (SELECT v, CAST(min(l) AS BIGINT) AS level FROM q GROUP BY v) GROUP BY level", "q AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS l UNION SELECT base.d, l + 1 FROM q JOIN base ON base.s = q.v WHERE l < 60)"))
+@query(fx.sql("SELECT l AS level, count(*) AS n FROM q GROUP BY l", _bfs()))
 def level_counts(spark, sf_dir):
     return bfs_levels(spark, sf_dir).groupBy("level").agg(F.count("*").alias("n"))
 
@@ -308,7 +313,7 @@ def dfs_reach(spark, sf_dir):
     return traverse.reach(fx.base(spark, sf_dir).edges, _first_vertex(spark))
 
 
-_LEVELS = ("q AS (SELECT CAST(0 AS BIGINT) AS v, 0 AS l UNION SELECT base.d, l + 1 FROM q JOIN base ON base.s = q.v WHERE l < 60)", "lv AS (SELECT v, CAST(min(l) AS BIGINT) AS level FROM q GROUP BY v)", "dn AS (SELECT s, d, a.level FROM base JOIN lv a ON s = a.v JOIN lv b ON d = b.v WHERE b.level = a.level + 1)")
+_LEVELS = (_bfs(), "lv AS (SELECT v, l AS level FROM q)", "dn AS (SELECT s, d, a.level FROM base JOIN lv a ON s = a.v JOIN lv b ON d = b.v WHERE b.level = a.level + 1)")
 
 
 @query(fx.sql("SELECT s AS src, d AS dst, level FROM dn", *_LEVELS))
@@ -347,12 +352,12 @@ def _state(g: Graph) -> tuple[DataFrame, DataFrame]:
     return active, cut(trim.restrict(g.edges, active))
 
 
-@query(fx.sql("SELECT c_custkey AS v FROM customer WHERE c_custkey IN (SELECT s FROM base WHERE s <> d) AND c_custkey IN (SELECT d FROM base WHERE s <> d)"))
+@query(fx.sql("SELECT v FROM vx WHERE v IN (SELECT s FROM base WHERE s <> d) AND v IN (SELECT d FROM base WHERE s <> d)"))
 def trim1_once(spark, sf_dir):
     return trim.trim1_once(*_state(fx.base(spark, sf_dir)))[0].select("v")
 
 
-_SURVIVE = ("cy AS (SELECT s AS v FROM r WHERE s = d)", "tv AS (SELECT c_custkey AS v FROM customer WHERE (c_custkey IN (SELECT v FROM cy) OR c_custkey IN (SELECT d FROM r WHERE s IN (SELECT v FROM cy))) AND (c_custkey IN (SELECT v FROM cy) OR c_custkey IN (SELECT s FROM r WHERE d IN (SELECT v FROM cy))))")
+_SURVIVE = ("cy AS (SELECT s AS v FROM r WHERE s = d)", "tv AS (SELECT v FROM vx WHERE (v IN (SELECT v FROM cy) OR v IN (SELECT d FROM r WHERE s IN (SELECT v FROM cy))) AND (v IN (SELECT v FROM cy) OR v IN (SELECT s FROM r WHERE d IN (SELECT v FROM cy))))")
 
 
 @query(fx.sql("SELECT v FROM tv", fx.closure(), *_SURVIVE))
@@ -391,19 +396,19 @@ def trim2_two_phase(spark, sf_dir):
     return trim.trim2_two_phase(_trimmed_edges(spark, sf_dir))
 
 
-@query(fx.sql("SELECT c_custkey AS v, CAST(c_custkey IN (SELECT v FROM f) AS INTEGER) AS fw, CAST(c_custkey IN (SELECT v FROM g) AS INTEGER) AS bw FROM customer", "f AS (SELECT CAST(0 AS BIGINT) AS v UNION SELECT base.d FROM f JOIN base ON base.s = f.v)", "g AS (SELECT CAST(0 AS BIGINT) AS v UNION SELECT base.s FROM g JOIN base ON base.d = g.v)"))
+@query(fx.sql("SELECT v, CAST(v IN (SELECT v FROM f) AS INTEGER) AS fw, CAST(v IN (SELECT v FROM g) AS INTEGER) AS bw FROM vx", "f AS (SELECT CAST(0 AS BIGINT) AS v UNION SELECT base.d FROM f JOIN base ON base.s = f.v)", "g AS (SELECT CAST(0 AS BIGINT) AS v UNION SELECT base.s FROM g JOIN base ON base.d = g.v)"))
 def fwbw_split(spark, sf_dir):
     active, edges = _state(fx.base(spark, sf_dir))
     classes, _ = split.fwbw(active, edges, split.pivots(active))
     return classes.select("v", F.col("fw").cast("int").alias("fw"), F.col("bw").cast("int").alias("bw"))
 
 
-@query(fx.sql("SELECT c_custkey AS v, least(c_custkey, coalesce(min(d), c_custkey)) AS label FROM customer LEFT JOIN r ON s = c_custkey GROUP BY c_custkey", fx.closure()))
+@query(fx.sql("SELECT v, least(v, coalesce(min(d), v)) AS label FROM vx LEFT JOIN r ON s = v GROUP BY v", fx.closure()))
 def min_label_forward(spark, sf_dir):
     return split.min_label_forward(*_state(fx.base(spark, sf_dir)))
 
 
-@query(fx.sql("SELECT c_custkey AS v, least(c_custkey, coalesce(min(d), c_custkey)) AS label FROM customer LEFT JOIN r ON s = c_custkey GROUP BY c_custkey", fx.closure("SELECT s, d FROM base UNION SELECT d, s FROM base")))
+@query(fx.sql("SELECT v, least(v, coalesce(min(d), v)) AS label FROM vx LEFT JOIN r ON s = v GROUP BY v", fx.closure("SELECT s, d FROM base UNION SELECT d, s FROM base")))
 def wcc_labels(spark, sf_dir):
     return split.weak_components(*_state(fx.base(spark, sf_dir)))
 

@@ -1,50 +1,75 @@
-"""Graphs derived from the given tables, as DataFrames and as the SQL that checks them."""
+"""Graphs derived from the given tables, as DataFrames and as the SQL that checks them.
+
+The hand-over graph holds all orders: an order's customer hands over to the customer of the next
+order of the same priority, in a layer for the weekday of the order. A vertex is a customer on a
+weekday, so each weekday is a graph of its own and one graph holds them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, dense_index
 from ..loop import cut
 
+#: Layers: the days of a week.
+DAYS = 7
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hand_overs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, k): customers of consecutive orders of one priority, loops left out."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    rows = o.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(w).alias("dst"), F.col("o_orderkey").alias("k"))
-    return rows.filter("dst is not null and src <> dst")
+def _followed(rows: DataFrame, order: str, value: str, steps: int, name: str) -> DataFrame:
+    """rows with the value `steps` rows later in the order of a unique column, by numbering and
+    a join: no window over the whole table."""
+    placed = cut(dense_index(rows, order, "_at"))
+    later = placed.select((F.col("_at") - steps).alias("_at"), F.col(value).alias(name))
+    return placed.join(later, "_at").drop("_at")
+
+
+def hand_overs(spark: SparkSession, sf_dir: str, steps: int = 1) -> DataFrame:
+    """(src, dst, day, status, priority): the customers of an order and of the one `steps` later
+    of its priority, on the order's weekday; loops left out."""
+    o = table(spark, sf_dir, "orders").select(F.struct("o_orderpriority", "o_orderdate", "o_orderkey").alias("o"), F.struct("o_orderpriority", "o_custkey").alias("c"), "o_orderstatus")
+    rows = _followed(o, "o", "c", steps, "n").filter("n.o_orderpriority = c.o_orderpriority and n.o_custkey <> c.o_custkey")
+    place = lambda c: F.col(f"{c}.o_custkey") * DAYS + F.weekday("o.o_orderdate")
+    return rows.select(place("c").alias("src"), place("n").alias("dst"), F.dayofmonth("o.o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"), F.col("o.o_orderpriority").alias("priority"))
 
 
 def base_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hand-overs; urgent orders in progress are handed back, too."""
     h = hand_overs(spark, sf_dir)
-    return h.filter("k % 10 = 0").select("src", "dst").union(h.filter("k % 40 = 0").select("dst", "src")).distinct()
+    back = h.filter("status = 'P' and priority = '1-URGENT'")
+    return h.select("src", "dst").union(back.select("dst", "src")).distinct()
+
+
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer on every weekday."""
+    days = F.explode(F.sequence(F.lit(0), F.lit(DAYS - 1)))
+    return table(spark, sf_dir, "customer").select("c_custkey", days.alias("day")).select((F.col("c_custkey") * DAYS + F.col("day")).alias("v"))
 
 
 def base(spark: SparkSession, sf_dir: str) -> Graph:
-    """The hand-over graph over all customers."""
-    return Graph(cut(base_edges(spark, sf_dir)), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v")))
+    """The hand-over graph over all orders, and all customers on all weekdays."""
+    return Graph(cut(base_edges(spark, sf_dir)), vertices(spark, sf_dir))
 
 
 def multigraph(spark: SparkSession, sf_dir: str) -> Graph:
     """Users handing over to the next event's user: copies and loops stay; eid in that order."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    w = Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")
-    rows = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("event_id").alias("eid")).filter("dst is not null")
-    return Graph(rows, e.select(F.col("user_id").alias("v")).distinct())
+    e = table(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("o"), "user_id")
+    rows = _followed(e, "o", "user_id", 1, "dst").select(F.col("user_id").alias("src"), "dst", F.col("o.event_id").alias("eid"))
+    return Graph(cut(rows), e.select(F.col("user_id").alias("v")).distinct())
 
 
 def insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(hand_overs(spark, sf_dir).filter("k % 100 = 1").select("src", "dst").distinct())
+    """A batch: hand-overs two orders on, of the first day of each month."""
+    return cut(hand_overs(spark, sf_dir, 2).filter("day = 1").select("src", "dst").distinct())
 
 
 def deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(hand_overs(spark, sf_dir).filter("k % 50 = 0").select("src", "dst").distinct())
+    """A batch: the hand-overs of the fifteenth of each month."""
+    return cut(hand_overs(spark, sf_dir).filter("day = 15").select("src", "dst").distinct())
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
@@ -55,11 +80,13 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
 
 # --- the same in SQL ---------------------------------------------------------------------------
 
-CTE = """h AS (SELECT o_custkey s, lead(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) d, o_orderkey k FROM orders),
-hb AS (SELECT * FROM h WHERE d IS NOT NULL AND s <> d),
-base AS (SELECT s, d FROM hb WHERE k % 10 = 0 UNION SELECT d, s FROM hb WHERE k % 40 = 0),
-ins AS (SELECT DISTINCT s, d FROM hb WHERE k % 100 = 1),
-del AS (SELECT DISTINCT s, d FROM hb WHERE k % 50 = 0),
+CTE = """h AS (SELECT o_custkey c, lead(o_custkey) OVER w n, lead(o_custkey, 2) OVER w nn, isodow(o_orderdate) - 1 AS g, day(o_orderdate) AS day, o_orderstatus AS status, o_orderpriority AS priority
+    FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)),
+hb AS (SELECT c * 7 + g AS s, n * 7 + g AS d, day, status, priority FROM h WHERE n IS NOT NULL AND c <> n),
+base AS (SELECT s, d FROM hb UNION SELECT d, s FROM hb WHERE status = 'P' AND priority = '1-URGENT'),
+vx AS (SELECT c_custkey * 7 + i AS v FROM customer, range(7) t(i)),
+ins AS (SELECT DISTINCT c * 7 + g AS s, nn * 7 + g AS d FROM h WHERE nn IS NOT NULL AND c <> nn AND day = 1),
+del AS (SELECT DISTINCT s, d FROM hb WHERE day = 15),
 multi AS (SELECT * FROM (SELECT user_id s, lead(user_id) OVER (ORDER BY ts, event_id) d, event_id eid FROM events) WHERE d IS NOT NULL)"""
 
 BASE, INSERTED, DELETED = "SELECT s, d FROM base", "SELECT s, d FROM base UNION SELECT s, d FROM ins", "SELECT s, d FROM base EXCEPT SELECT s, d FROM del"
@@ -70,7 +97,7 @@ def closure(edges: str = BASE, name: str = "") -> str:
     """CTEs e, r (transitive closure) and l(v, scc) of an edge query; name is put behind."""
     return f"""e{name} AS ({edges}), r{name} AS (SELECT s, d FROM e{name} UNION SELECT r{name}.s, e{name}.d FROM r{name} JOIN e{name} ON e{name}.s = r{name}.d),
 m{name} AS (SELECT a.s AS v, min(a.d) AS c FROM r{name} a JOIN r{name} b ON a.s = b.d AND a.d = b.s GROUP BY 1),
-l{name} AS (SELECT c_custkey AS v, least(c_custkey, coalesce(c, c_custkey)) AS scc FROM customer LEFT JOIN m{name} ON c_custkey = v)"""
+l{name} AS (SELECT vx.v, least(vx.v, coalesce(c, vx.v)) AS scc FROM vx LEFT JOIN m{name} ON m{name}.v = vx.v)"""
 
 
 def sql(select: str, *ctes: str) -> str:
