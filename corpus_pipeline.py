@@ -2,12 +2,18 @@
 
 Every stage works on all that its predecessor kept and takes effect: rejected, duplicate and
 leaked documents are gone afterwards, secrets are masked in the text, and the last stage returns
-token ids. What each does with nulls, empty and repeated rows is stated in its operator; here a
-document with null text counts as empty, and null ids stay unless their text is rejected."""
+token ids.
+
+A document with null text counts as empty; it stays unless its empty text is rejected. Rows with
+a null id are never duplicates of anything. Rows that repeat an id are judged each by its text;
+where an id goes as a duplicate, all its rows go. Ties: a score at LEAST_QUALITY stays, and of
+documents that are linked the one with the least id. Texts of any length are taken whole. An
+empty table gives an empty one. Columns beyond documents' own are carried to the last stage but
+one, whatever their names; n_chars, lang and source may be missing, and are then not made up."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import bpe, decontam, near_dups, quality, secrets
@@ -22,33 +28,48 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the labelled ones whose crc32(doc_id) mod 5 is not 0."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder(F.col("doc_id"), 5) != 0)
     model = quality.fit(docs.select("doc_id", "text"), labels, "quality")
-    return quality.score(docs, model, name="_quality").filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    return _unpacked(quality.score(_packed(docs), model, name="score").filter(F.col("score") >= LEAST_QUALITY), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id."""
-    return near_dups.keep_one(docs).select(*docs.columns)
+    return near_dups.keep_one(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.filter(~F.col("leaked")).select(*docs.columns)
+    found = decontam.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return _unpacked(found.filter(~F.col("leaked")), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind in brackets; n_chars follows."""
-    clean = secrets.redact(docs.withColumn("_before", F.xxhash64("text"))).withColumn("_changed", F.xxhash64("text") != F.col("_before"))
-    size = F.when(F.col("_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    clean = secrets.redact(_packed(docs).withColumn("before", F.xxhash64("text")))
+    if "n_chars" not in docs.columns:
+        return _unpacked(clean, docs)
+    size = F.when(F.xxhash64("text") != F.col("before"), F.length("text")).otherwise(F.col("row")["n_chars"])
+    return _unpacked(clean, docs, n_chars=size.cast(docs.schema["n_chars"].dataType))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, packed as little-endian unsigned 32-bit integers."""
     import public_tokenizers as P
 
-    found = bpe.encode(docs.select("doc_id", "lang", "source", "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    return found.select("doc_id", "lang", "source", "n_tokens", "ids")
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    found = bpe.encode(docs.select(*kept, "text"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return found.select(*kept, "n_tokens", "ids")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): the other columns in one, so no name of an operator's own can clash."""
+    rest = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(True).alias("none")]).alias("row"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """docs' columns of packed rows; new: in place of a column."""
+    value = lambda c: new[c] if c in new else F.col(c) if c in ("doc_id", "text") else F.col("row")[c]
+    return found.select(*[value(c).alias(c) for c in docs.columns])
 
 
 STAGES = [
