@@ -292,3 +292,14 @@ def test_pipeline(spark, tmp_path):
         enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(f.read()), special_tokens={})
     assert {i: list(memoryview(bytes(r.ids)).cast("I")) for i, r in seen["tokenize"].items()} == {i: enc.encode_ordinary(r.text or "") for i, r in masked.items()}
     assert {r.doc_id for r in pipe.run(spark, folder).collect()} == set(seen["tokenize"])
+    # columns named like the operators' own are carried along, and n_chars may be missing
+    names = ["leaked", "best", "item_ids", "_quality", "score", "s_words", "row", "before", "spans", "_before", "_changed", "id", "n", "component_id", "Leaked2", "a.b"]
+    odd = docs.filter("doc_id in (9, 10, 13, 14, 17, 900)").drop("n_chars").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for name, stage in pipe.STAGES[:-1]:
+        out = stored(stage(spark, odd, folder), name)
+        assert out.columns == odd.columns
+        for r in out.collect():
+            assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+    assert set(pipe.tokenize(spark, odd.drop("lang"), folder).columns) == {"doc_id", "source", "n_tokens", "ids"}
+    assert set(pipe.tokenize(spark, odd.select("doc_id", "text"), folder).columns) == {"doc_id", "n_tokens", "ids"}
+    assert pipe.mask_secrets(spark, odd.select("doc_id", "text"), folder).count() == 6
