@@ -115,12 +115,12 @@ class Graph:
 
     def pick_vertices(self, n: int, seed: int) -> DataFrame:
         """n vertices in the order of a seeded hash: random, and the same on every run."""
-        return self.vertices.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(n)
+        return self.vertices.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "v")), "v").limit(n)
 
     def pick_out_neighbours(self, seed: int) -> DataFrame:
         """One out-neighbour of each vertex that has any, by a seeded hash of the pair."""
         e = self.edges.select("src", "dst").distinct()
-        best = e.groupBy("src").agg(F.min(F.struct(F.xxhash64("src", "dst", F.lit(seed)).alias("h"), "dst")).alias("b"))
+        best = e.groupBy("src").agg(F.min(F.struct(F.md5(F.concat_ws(":", F.lit(seed), "src", "dst")).alias("h"), "dst")).alias("b"))
         return best.select(F.col("src").alias("v"), F.col("b.dst").alias("neighbour"))
 
 

@@ -1,14 +1,16 @@
 """Batches of inserted and deleted edges against known labels.
 
 Insertions only merge components, so the condensation is enough; deletions only split inside
-components that lose an inner edge. A mixed batch deletes first and inserts into the new labels."""
+components that lose an inner edge. A mixed batch deletes first and inserts into the new labels.
+The condensation, condensed(src, dst, copies), can be kept as state between batches: insertions
+then read it and the labels, but not the edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, exclusive_sums
+from ..graph import Graph, dense_index, exclusive_sums
 from ..loop import cut
 from . import strategies
 from .traverse import topological_levels
@@ -34,13 +36,25 @@ def condense_counted(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return condense(edges, labels).groupBy("src", "dst").agg(F.count("*").alias("copies"))
 
 
+def merged_condensed(condensed: DataFrame, merged: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """The state after old components (merged: v old, scc new) merged and the cross edges `fresh`
+    (like condensed, between old components) came in."""
+    rows = condensed.select("src", "dst", "copies")
+    if fresh is not None:
+        rows = rows.union(fresh.select("src", "dst", "copies"))
+    a = merged.select(F.col("v").alias("src"), F.col("scc").alias("a"))
+    b = merged.select(F.col("v").alias("dst"), F.col("scc").alias("b"))
+    new = rows.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "copies")
+    return new.groupBy("src", "dst").agg(F.sum("copies").cast("long").alias("copies"))
+
+
 def components_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("scc").alias("v")).distinct()
 
 
-def condensation_levels(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def condensation_levels(edges: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """(v, level) of the components: the longest path that leads to each."""
-    return topological_levels(condense(edges, labels), components_of(labels))
+    return topological_levels(condense(edges, labels), components_of(labels), **how)
 
 
 def mapped_back(labels: DataFrame, merged: DataFrame) -> DataFrame:
@@ -56,17 +70,35 @@ def insert_naive(graph: Graph, batch: DataFrame, **how) -> DataFrame:
     return strategies.auto(graph.with_edges(batch), **how).result()
 
 
-def _merged(graph: Graph, labels: DataFrame, batch: DataFrame, pivot: str, known: DataFrame | None, **how) -> DataFrame:
-    nodes = cut(components_of(labels))
-    if nodes.limit(2).count() <= 1:
+def _quotient(graph: Graph, labels: DataFrame, batch: DataFrame, condensed: DataFrame | None) -> DataFrame | None:
+    """The old components' edges with the batch's, each once; None if there is one component."""
+    if components_of(labels).limit(2).count() <= 1:
+        return None
+    old = condense(graph.edges, labels) if condensed is None else condensed.select("src", "dst")
+    return cut(old.union(condense(batch, labels)).distinct())
+
+
+def _merged(graph: Graph, labels: DataFrame, batch: DataFrame, pivot: str, known: DataFrame | None, condensed: DataFrame | None, **how) -> DataFrame:
+    quotient = _quotient(graph, labels, batch, condensed)
+    if quotient is None:
         return labels.select("v", "scc")  # one component stays one
-    quotient = cut(condense(graph.edges.select("src", "dst").union(batch.select("src", "dst")), labels).distinct())
-    return mapped_back(labels, strategies.auto(Graph(quotient, nodes), pivot=pivot, known=known, **how).result())
+    return mapped_back(labels, strategies.auto(Graph(quotient, components_of(labels)), pivot=pivot, known=known, **how).result())
 
 
-def insert_condensed(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
+def insert_condensed(graph: Graph, labels: DataFrame, batch: DataFrame, condensed: DataFrame | None = None, **how) -> DataFrame:
     """Method 6: the components of the condensation, pivot of most out-edges."""
-    return _merged(graph, labels, batch, "degree", None, **how)
+    return _merged(graph, labels, batch, "degree", None, condensed, **how)
+
+
+def insert_into(condensed: DataFrame, labels: DataFrame, batch: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """Method 6 on kept state: (labels, condensed) after the batch. Reads no edges but the
+    batch's."""
+    fresh = cut(condense_counted(batch, labels))
+    if fresh.isEmpty():
+        return labels.select("v", "scc"), condensed
+    quotient = cut(condensed.select("src", "dst").union(fresh.select("src", "dst")).distinct())
+    merged = cut(strategies.auto(Graph(quotient, components_of(labels)), pivot="degree", **how).result())
+    return mapped_back(labels, merged), merged_condensed(condensed, merged, fresh)
 
 
 def affected_levels(levels: DataFrame, cross: DataFrame) -> DataFrame:
@@ -81,14 +113,15 @@ def affected_levels(levels: DataFrame, cross: DataFrame) -> DataFrame:
     return exclusive_sums(summed, "level", "d", "before").select("level", (F.col("before") + F.col("d")).cast("long").alias("spans"))
 
 
-def insert_levels(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
+def insert_levels(graph: Graph, labels: DataFrame, batch: DataFrame, condensed: DataFrame | None = None, **how) -> DataFrame:
     """Method 7: components on levels that no inserted edge spans stay as they are: an old edge
     always leads to a higher level, so a cycle through level L needs an inserted edge over L."""
-    levels = cut(condensation_levels(graph.edges, labels))
+    old = cut(condense(graph.edges, labels).distinct() if condensed is None else condensed.select("src", "dst"))
+    levels = cut(topological_levels(old, components_of(labels), **({"local_rows": how["local_rows"]} if "local_rows" in how else {})))
     cross = cut(condense(batch, labels))
     quiet = affected_levels(levels, cross).filter("spans = 0").select("level")
     known = levels.join(quiet, "level", "left_semi").select("v", F.col("v").alias("scc"))
-    return _merged(graph, labels, batch, "least", known, **how)
+    return _merged(graph, labels, batch, "least", known, old, **how)
 
 
 def touched(labels: DataFrame, batch: DataFrame) -> DataFrame:
@@ -96,27 +129,27 @@ def touched(labels: DataFrame, batch: DataFrame) -> DataFrame:
     return condense(batch, labels).select(F.col("src").alias("v")).distinct()
 
 
-def insert_touched(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
+def insert_touched(graph: Graph, labels: DataFrame, batch: DataFrame, condensed: DataFrame | None = None, **how) -> DataFrame:
     """Method 11: every new cycle passes the start of an inserted edge. The giant search begins
-    at one of these; once all of them are resolved, the rest are single."""
-    nodes = cut(components_of(labels))
-    if nodes.limit(2).count() <= 1:
+    at one of these; once all of them are resolved, the rest are single. A condensation that
+    fits into a task goes there whole."""
+    quotient = _quotient(graph, labels, batch, condensed)
+    if quotient is None:
         return labels.select("v", "scc")
-    quotient = cut(condense(graph.edges.select("src", "dst").union(batch.select("src", "dst")), labels).distinct())
-    starts = cut(touched(labels, batch))
-    plan = strategies.Plan(Graph(quotient, nodes), **how)
-    plan.trim1()
-    chosen = plan.active.join(starts, "v", "left_semi").groupBy("color").agg(F.min("v").alias("pivot"))
-    if not chosen.isEmpty():
-        plan.fwbw(chosen, "global_fwbw")
-    if plan.active.join(starts, "v", "left_semi").isEmpty():
-        plan.drop(plan.active.select("v", F.col("v").alias("scc")))
-    else:
-        plan.trim1()
-        plan.trim2()
+    plan = strategies.Plan(Graph(quotient, components_of(labels)), **how)
+    if not plan.fits():
+        starts = cut(touched(labels, batch))
         plan.trim1()
-        plan.min_label()
-        plan.finish()
+        chosen = plan.active.join(starts, "v", "left_semi").groupBy("color").agg(F.min("v").alias("pivot"))
+        if not chosen.isEmpty():
+            plan.fwbw(chosen, "global_fwbw")
+        if plan.active.join(starts, "v", "left_semi").isEmpty():
+            plan.drop(plan.active.select("v", F.col("v").alias("scc")))
+        else:
+            plan.trim1()
+            plan.trim2()
+            plan.trim1()
+    plan.finish()
     return mapped_back(labels, plan.result())
 
 
@@ -142,6 +175,30 @@ def delete_affected(graph: Graph, labels: DataFrame, batch: DataFrame, **how) ->
     return labels.join(hit, "scc", "left_anti").select("v", "scc").union(new)
 
 
+def delete_from(edges: DataFrame, condensed: DataFrame, labels: DataFrame, batch: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """Method 9 on kept state: (labels, condensed) after the batch; edges: as they were before.
+    The state is made anew only for components that lose an inner edge; of the others the
+    deleted copies are taken off."""
+    if condense(batch, labels).isEmpty() and affected(labels, batch).isEmpty():
+        return labels.select("v", "scc"), condensed
+    hit = cut(affected(labels, batch))
+    gone = edges.select("src", "dst").join(batch.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    less = condense_counted(gone, labels).select("src", "dst", (-F.col("copies")).alias("copies"))
+    far = condensed.union(less).groupBy("src", "dst").agg(F.sum("copies").cast("long").alias("copies")).filter("copies > 0")
+    for end in ("src", "dst"):
+        far = far.join(hit.select(F.col("scc").alias(end)), end, "left_anti")
+    far = far.select("src", "dst", "copies")
+    if hit.isEmpty():
+        return labels.select("v", "scc"), far
+    inside = cut(labels.join(hit, "scc", "left_semi").select("v", "scc"))
+    a, b = (inside.select(F.col("v").alias(end), F.lit(True).alias(f"_{end}")) for end in ("src", "dst"))
+    near = survivors(edges, batch).join(a, "src", "left").join(b, "dst", "left").filter("_src or _dst").select("src", "dst")
+    near = cut(near)
+    part = relabelled(near, inside).filter("a = b").select("src", "dst")
+    after = cut(labels.join(hit, "scc", "left_anti").select("v", "scc").union(strategies.auto(Graph(cut(part), inside.select("v")), **how).result()))
+    return after, far.union(condense_counted(near, after))
+
+
 def delete_confined(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> DataFrame:
     """Method 10: recompute all, every search confined to an old component."""
     inside = relabelled(survivors(graph.edges, batch), labels).filter("a = b").select("src", "dst")
@@ -162,33 +219,69 @@ def thinning(edges: DataFrame, n_vertices: int, keep: int = 4) -> int:
 
 def apply_batch(graph: Graph, labels: DataFrame, batch: DataFrame, **how) -> tuple[Graph, DataFrame]:
     """A mixed batch (op, src, dst) with op '-' and '+': delete first, then insert."""
-    gone, new = batch.filter("op = '-'").select("src", "dst"), batch.filter("op = '+'").select("src", "dst")
+    gone, new = _sides(batch)
     after = cut(delete_affected(graph, labels, gone, **how))
     graph = graph.without_edges(gone)
     return graph.with_edges(new), insert_condensed(graph, after, new, **how)
 
 
+def apply_to_state(edges: DataFrame, condensed: DataFrame, labels: DataFrame, batch: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """The same on kept state: (labels, condensed). The edges are read only if the batch
+    deletes."""
+    gone, new = _sides(batch)
+    if not gone.isEmpty():
+        labels, condensed = (cut(x) for x in delete_from(edges, condensed, labels, gone, **how))
+    return insert_into(condensed, labels, new, **how)
+
+
+def _sides(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return batch.filter("op = '-'").select("src", "dst"), batch.filter("op = '+'").select("src", "dst")
+
+
 # --- batches ----------------------------------------------------------------------------------
 
 
-def insert_candidates(edges: DataFrame) -> DataFrame:
+def insert_candidates(edges: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
     """(src, dst) pairs that could be inserted: between two neighbours a < b of a vertex v that
-    follow each other in its list, each id g in the gap gives g -> v unless that edge is there."""
+    follow each other in its list, each id g in the gap gives g -> v unless that edge is there.
+    With n, about as many places of each gap as its share of n asks for are drawn by a seeded
+    formula, more until n pairs are found or every gap is drawn whole: the work follows n and the
+    edges, not the range of ids."""
     e = edges.select("src", "dst").distinct()
-    near = e.withColumn("next", F.lead("dst").over(Window.partitionBy("src").orderBy("dst"))).filter("next > dst + 1")
-    gaps = near.select(F.explode(F.sequence(F.col("dst") + 1, F.col("next") - 1)).alias("g"), F.col("src").alias("d")).filter("g <> d").distinct()
-    return gaps.select(F.col("g").alias("src"), F.col("d").alias("dst")).join(e, ["src", "dst"], "left_anti")
+    near = e.withColumn("next", F.lead("dst").over(Window.partitionBy("src").orderBy("dst"))).filter("next > dst + 1").withColumn("room", F.col("next") - F.col("dst") - 1)
+
+    def free(gaps: DataFrame) -> DataFrame:
+        return gaps.filter("g <> d").distinct().select(F.col("g").alias("src"), F.col("d").alias("dst")).join(e, ["src", "dst"], "left_anti")
+
+    whole = near.select(F.explode(F.sequence(F.col("dst") + 1, F.col("next") - 1)).alias("g"), F.col("src").alias("d"))
+    if n is None:
+        return free(whole)
+    near = cut(near)
+    total = near.agg(F.sum("room")).first()[0] or 0
+    share = 2.0 * n / total if total else 1.0
+    while share < 0.5:
+        times = F.ceil(F.col("room") * share).cast("int")
+        drawn = near.select("src", "dst", "room", F.explode(F.sequence(F.lit(1), times)).alias("i"))
+        place = F.col("dst") + 1 + F.pmod(F.col("src") * 7919 + F.col("dst") * 104_729 + F.col("i") * 1_299_709 + seed, F.col("room"))
+        found = cut(free(drawn.select(place.alias("g"), F.col("src").alias("d"))))
+        if found.count() >= n:
+            return found
+        share *= 2
+    return free(whole)
 
 
 def hash_ordered(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows (src, dst), random by a seeded hash and the same on every run."""
+    """n rows (src, dst), random by a seeded hash and the same on every run; numbered over range
+    partitions, so no task gets them all."""
     key = F.md5(F.concat_ws(":", F.lit(seed), "src", "dst"))
-    return rows.select("src", "dst", key.alias("_h")).orderBy("_h", "src", "dst").limit(n).select("src", "dst")
+    placed = dense_index(rows.select(F.struct(key.alias("h"), "src", "dst").alias("o")), "o", "at")
+    return placed.filter(F.col("at") < n).select("o.src", "o.dst")
 
 
-def make_batches(edges: DataFrame, fractions=(0.01, 0.03, 0.05, 0.07, 0.1, 0.15), pool: float = 0.2, seed: int = 0) -> dict[float, tuple[DataFrame, DataFrame]]:
-    """(insertions, deletions) of each fraction of the edges, from pools of a fifth of them."""
+def make_batches(edges: DataFrame, fractions: tuple[float, ...], pool: float, seed: int = 0) -> dict[float, tuple[DataFrame, DataFrame]]:
+    """(insertions, deletions) of each fraction of the edges, from a pool of candidates and one of
+    edges that hold the fraction `pool` of them."""
     m = edges.count()
-    new = cut(hash_ordered(insert_candidates(edges), int(pool * m), seed))
+    new = cut(hash_ordered(insert_candidates(edges, int(pool * m), seed), int(pool * m), seed))
     old = cut(hash_ordered(edges, int(pool * m), seed))
     return {f: (hash_ordered(new, int(f * m), seed + 1), hash_ordered(old, int(f * m), seed + 1)) for f in fractions}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, parse
-from ..graph import Graph, encode_edges, key_dictionary
+from ..graph import Graph, encode_edges, key_dictionary, path_graph, star_graph
 from ..loop import cut, shared_dir
 from ..operators import collections as coll
 from ..operators import dynamic, report, split, strategies, traverse, trim
@@ -102,6 +103,24 @@ def adjacency_file(spark, sf_dir):
     return text.read_adjacency(spark, path)[0]
 
 
+@query(fx.sql("SELECT v, v % 3 = 0 AS third, v * 0.5 AS half, count(s) AS degree, coalesce(sum(s + d), 0)::BIGINT AS weights FROM vx LEFT JOIN base ON s = v GROUP BY v"))
+def adjacency_properties(spark, sf_dir):
+    """Vertex and edge properties through an adjacency file."""
+    path, g = _folder(spark), fx.base(spark, sf_dir)
+    text.write_adjacency(g.edges.withColumn("w", F.col("src") + F.col("dst")), g.vertices.withColumns({"third": F.col("v") % 3 == 0, "half": F.col("v") * 0.5}), path)
+    edges, vertices = text.read_adjacency(spark, path, vertex_props={"third": "bool", "half": "double"}, edge_props={"w": "long"})
+    near = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"), F.sum("w").alias("weights"))
+    return vertices.join(near, "v", "left").fillna(0, ["degree", "weights"])
+
+
+@query(fx.sql("SELECT v, v * 7 AS key, v % 2 = 0 AS even FROM vx WHERE v <= (SELECT max(greatest(s, d)) FROM base)"))
+def extended_binary_vertices(spark, sf_dir):
+    path, g = _folder(spark), Graph.from_edges(fx.base(spark, sf_dir).edges)
+    g = Graph(g.edges, g.vertices.withColumn("even", F.col("v") % 2 == 0))
+    binary.write(g, path, g.vertices.select("v", (F.col("v") * 7).alias("key")), {"even": "bool"}, {})
+    return binary.read_extended(spark, path, {"even": "bool"}, {})[1]
+
+
 @query(fx.sql("SELECT s AS src, d AS dst, row_number() OVER (ORDER BY s, d) - 1 AS eid FROM base"))
 def binary_file(spark, sf_dir):
     path, g = _folder(spark), fx.base(spark, sf_dir)
@@ -124,12 +143,22 @@ def parquet_graph(spark, sf_dir):
     return tables.read(spark, path).edges
 
 
-@query(r"""SELECT event_id, len(regexp_extract_all(props, '[^ \t]+')) AS n_tokens, event_type IN ('1', 'true') AS flag,
-    coalesce(TRY_CAST(nullif(regexp_extract(CAST(value AS VARCHAR), '^\s*([+-]?\d+)', 1), '') AS BIGINT), 0) AS whole FROM events""")
+@query(r"""SELECT event_id, len(regexp_extract_all(props, '[^ \t]+')) + 3 AS n_tokens, event_type || ' "x\y' AS quoted, event_type IN ('1', 'true') AS flag, lower(event_type) = 'view' AS seen,
+    CAST(trunc(CAST(value AS DOUBLE)) AS BIGINT) AS whole, CAST(trunc(CAST(value AS DOUBLE)) AS INTEGER) AS small, -CAST(value AS DOUBLE) AS number, 0::BIGINT AS none FROM events""")
 def tokenize_parse(spark, sf_dir):
+    """Lines of blanks, tabs, a quoted token with blanks, an escaped quote and an escaped
+    backslash inside, and numbers with garbage behind them."""
     e = fx.table(spark, sf_dir, "events")
-    plain = F.translate("props", '"\\', "..")
-    return e.select("event_id", F.size(parse.tokens(plain)).cast("long").alias("n_tokens"), parse.parse(F.col("event_type"), "bool").alias("flag"), parse.parse(F.col("value").cast("decimal(20,6)").cast("string"), "long").alias("whole"))
+    value = F.col("value").cast("decimal(20,6)").cast("string")
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit(r' \"x\\y"'))
+    line = F.concat(F.lit(" \t"), F.col("props"), F.lit("\t"), quoted, F.lit("  "), value, F.lit("x7 -"), value, F.lit("e0,1 "))
+    t = e.select("event_id", "event_type", parse.tokens(line).alias("t"))
+    last = lambda n: F.element_at("t", -n)
+    seen = F.when(F.col("event_type") == "view", "TRUE").otherwise(F.col("event_type"))
+    return t.select(
+        "event_id", F.size("t").cast("long").alias("n_tokens"), parse.parse(last(3), "string").alias("quoted"), parse.parse(F.col("event_type"), "bool").alias("flag"), parse.parse(seen, "bool").alias("seen"),
+        parse.parse(last(2), "long").alias("whole"), parse.parse(last(2), "int").alias("small"), parse.parse(last(1), "double").alias("number"), parse.parse(F.lit("x1"), "node").alias("none"),
+    )
 
 
 _LOG = """VALUES ('a', 0, 'data=g1 2 8'), ('a', 1, '[0]running_time(ms)=12.500000'), ('a', 2, 'Total # SCCs = 40'),
@@ -167,6 +196,25 @@ def edges_base(spark, sf_dir):
     return fx.base(spark, sf_dir).edges
 
 
+@query(fx.sql("SELECT unnest(range(0, 9 + max(greatest(s, d)))) AS v FROM base"))
+def dense_vertices(spark, sf_dir):
+    """Vertices made from the edges, and eight added."""
+    g = Graph.from_edges(fx.base(spark, sf_dir).edges)
+    top = g.vertices.agg(F.max("v")).first()[0]
+    return g.with_vertices(spark.range(top - 5, top + 9)).vertices
+
+
+@query(fx.sql(_EDGES.format("base")))
+def frozen_edges(spark, sf_dir):
+    return fx.base(spark, sf_dir).frozen().edges
+
+
+@query("SELECT 'path' AS kind, i AS src, i + 1 AS dst FROM range(999) t(i) UNION ALL SELECT 'star', 0, i + 1 FROM range(999) t(i)")
+def toy_graphs(spark, sf_dir):
+    path, star = path_graph(spark, 1000).edges, star_graph(spark, 1000).edges
+    return path.select(F.lit("path").alias("kind"), "src", "dst").union(star.select(F.lit("star").alias("kind"), "src", "dst"))
+
+
 @query(fx.sql("SELECT d AS src, s AS dst FROM base"))
 def edges_reverse(spark, sf_dir):
     return fx.base(spark, sf_dir).reversed().edges
@@ -262,10 +310,10 @@ def compress_graph(spark, sf_dir):
     return g.without_vertices(g.vertices.filter("v % 7 = 0")).compressed()[0].edges
 
 
-@query()
+@query(fx.sql("SELECT s AS v, arg_min(d, md5('7:' || s || ':' || d)) AS neighbour FROM base WHERE s IN (SELECT v FROM vx ORDER BY md5('7:' || v), v LIMIT 200) GROUP BY s"))
 def pick_random(spark, sf_dir):
     g = fx.base(spark, sf_dir)
-    return g.pick_out_neighbours(7).join(g.pick_vertices(20, 7), "v", "left_semi")
+    return g.pick_out_neighbours(7).join(g.pick_vertices(200, 7), "v", "left_semi")
 
 
 # --- traversal ---------------------------------------------------------------------------------
@@ -419,6 +467,18 @@ def color_pivots(spark, sf_dir):
     return split.pivots(active).join(split.color_sizes(active), "color")
 
 
+@query("SELECT c_custkey AS v FROM customer WHERE c_nationkey = 3")
+def color_members(spark, sf_dir):
+    return split.members_of(fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("color")), 3)
+
+
+@query()
+def trim2_repeated(spark, sf_dir):
+    """Pairs taken out until none is left; which ones a pass takes is tested by brute force."""
+    active, edges = _state(fx.base(spark, sf_dir))
+    return trim.trim2_repeated(active, edges)[2]
+
+
 # --- components by every plan ---------------------------------------------------------------------------
 
 
@@ -435,6 +495,11 @@ for _name, _strategy in (("scc_m0_baseline", "baseline"), ("scc_m1_global_fb", "
 _scc_query("scc_m2_degree_pivot", "full", pivot="degree")
 
 
+#: The same plans with no part ever finished in a task: every step is a join.
+for _strategy in ("baseline", "global_fb", "full", "tarjan", "trim_tarjan", "coloring", "auto"):
+    _scc_query(f"scc_{_strategy}_distributed", _strategy, local_rows=0)
+
+
 @query("SELECT DISTINCT l_partkey AS v, l_partkey AS scc FROM lineitem UNION ALL SELECT DISTINCT l_suppkey + 1000000, l_suppkey + 1000000 FROM lineitem")
 def scc_acyclic(spark, sf_dir):
     return strategies.scc(fx.supply(spark, sf_dir))
@@ -469,19 +534,21 @@ def scc_export_dense(spark, sf_dir):
     return report.export(_labels(spark, sf_dir))
 
 
-@query(fx.sql("SELECT scc, count(*) AS size, string_agg(v, ' ' ORDER BY v) AS members FROM l GROUP BY scc HAVING count(*) = 3", fx.closure()))
+@query(fx.sql("SELECT scc, size, v // 100000 AS part, string_agg(v, ' ' ORDER BY v) AS members FROM l JOIN (SELECT scc, count(*) AS size FROM l GROUP BY scc HAVING count(*) = 3) USING (scc) GROUP BY ALL", fx.closure()))
 def scc_members_of_size(spark, sf_dir):
     return report.member_lists(_labels(spark, sf_dir), size=3)
 
 
-@query(fx.sql("SELECT scc, count(*) AS size, string_agg(v, ' ' ORDER BY v) AS members FROM l GROUP BY scc HAVING count(*) >= 2", fx.closure()))
+@query(fx.sql("SELECT scc, size, v // 100000 AS part, string_agg(v, ' ' ORDER BY v) AS members FROM l JOIN (SELECT scc, count(*) AS size FROM l GROUP BY scc HAVING count(*) >= 2) USING (scc) GROUP BY ALL", fx.closure()))
 def scc_members_min_size(spark, sf_dir):
     return report.member_lists(_labels(spark, sf_dir), min_size=2)
 
 
-@query()
+@query(fx.sql("SELECT 'trim1' AS phase, (SELECT count(*) FROM vx) - (SELECT count(*) FROM tv) AS resolved UNION ALL SELECT 'all', count(*) FROM vx", fx.closure(), *_SURVIVE))
 def scc_phases(spark, sf_dir):
-    return strategies.full(fx.base(spark, sf_dir)).phases.frame(spark)
+    """What the first phase resolved, and all of them together."""
+    phases = strategies.full(fx.base(spark, sf_dir), stop=0).phases.frame(spark).filter("millis >= 0")
+    return phases.filter("step = 0").select("phase", "resolved").union(phases.agg(F.lit("all"), F.sum("resolved")))
 
 
 # --- condensation and batches ---------------------------------------------------------------------------------
@@ -518,6 +585,10 @@ _batch_query("insert_m6", _INSERTED, dynamic.insert_condensed, fx.insertions)
 _batch_query("insert_m7", _INSERTED, dynamic.insert_levels, fx.insertions)
 _batch_query("insert_m11", _INSERTED, dynamic.insert_touched, fx.insertions)
 _batch_query("delete_m9", _DELETED, dynamic.delete_affected, fx.deletions)
+for _name, _apply in (("m6", dynamic.insert_condensed), ("m7", dynamic.insert_levels), ("m11", dynamic.insert_touched)):
+    _batch_query(f"insert_{_name}_distributed", _INSERTED, functools.partial(_apply, local_rows=0), fx.insertions)
+for _name, _apply in (("m9", dynamic.delete_affected), ("m10", dynamic.delete_confined)):
+    _batch_query(f"delete_{_name}_distributed", _DELETED, functools.partial(_apply, local_rows=0), fx.deletions)
 _batch_query("delete_m10", _DELETED, dynamic.delete_confined, fx.deletions)
 
 
@@ -531,6 +602,33 @@ def mixed_batch(spark, sf_dir):
     return dynamic.apply_batch(g, cut(strategies.scc(g)), _mixed(spark, sf_dir))[1]
 
 
+def _kept_state(spark, sf_dir) -> tuple[Graph, DataFrame, DataFrame]:
+    """Labels after the mixed batch, by way of the kept condensation, which goes along."""
+    g = fx.base(spark, sf_dir)
+    labels = cut(strategies.scc(g))
+    state = cut(dynamic.condense_counted(g.edges, labels))
+    return g, *dynamic.apply_to_state(g.edges, state, labels, _mixed(spark, sf_dir))
+
+
+@query(fx.sql(_LABELS, fx.closure(fx.MIXED)))
+def mixed_batch_on_state(spark, sf_dir):
+    return _kept_state(spark, sf_dir)[1]
+
+
+@query(fx.sql("SELECT a.scc AS src, b.scc AS dst, count(*) AS copies FROM e JOIN l a ON s = a.v JOIN l b ON d = b.v WHERE a.scc <> b.scc GROUP BY ALL", fx.closure(f"SELECT s, d FROM ({fx.MIXED})")).replace(" FROM e JOIN l a", " FROM (SELECT s, d FROM base WHERE (s, d) NOT IN (SELECT (s, d) FROM del) UNION ALL SELECT s, d FROM ins) JOIN l a"))
+def kept_condensation(spark, sf_dir):
+    """The condensation that was kept through a mixed batch, copies counted."""
+    return _kept_state(spark, sf_dir)[2]
+
+
+@query("SELECT DISTINCT user_id AS v, (SELECT min(user_id) FROM events) AS scc FROM events")
+def insert_single(spark, sf_dir):
+    """A batch into a graph of one component changes nothing."""
+    g = fx.multigraph(spark, sf_dir)
+    labels = cut(strategies.scc(g))
+    return dynamic.insert_condensed(g, labels, g.reversed().edges.select("src", "dst"))
+
+
 _CROSS = ("lv AS (SELECT v, CAST(max(l) AS BIGINT) AS level FROM tp GROUP BY v)", "cx AS (SELECT least(x.level, y.level) AS lo, greatest(x.level, y.level) AS hi FROM ins JOIN l a ON s = a.v JOIN l b ON d = b.v JOIN lv x ON x.v = a.scc JOIN lv y ON y.v = b.scc WHERE a.scc <> b.scc)")
 
 
@@ -560,9 +658,24 @@ def sample_every_kth(spark, sf_dir):
     return dynamic.every_kth(fx.base(spark, sf_dir).edges, 4)
 
 
-@query(fx.sql("SELECT DISTINCT g AS src, s AS dst FROM (SELECT s, unnest(range(d + 1, n)) AS g FROM (SELECT s, d, lead(d) OVER (PARTITION BY s ORDER BY d) AS n FROM base) WHERE n > d + 1) WHERE g <> s AND NOT EXISTS (SELECT 1 FROM base b WHERE b.s = g AND b.d = w.s)".replace(") WHERE g <> s", ") w WHERE g <> s")))
+_GAPS = ("gp AS (SELECT s, d, n - d - 1 AS room FROM (SELECT s, d, lead(d) OVER (PARTITION BY s ORDER BY d) AS n FROM base) WHERE n > d + 1)", "dr AS (SELECT s, d, room, unnest(range(1, ceil(room * (2.0::DOUBLE * 1000 / (SELECT sum(room) FROM gp)))::BIGINT + 1)) AS i FROM gp)")
+
+
+@query(fx.sql("SELECT DISTINCT g AS src, s AS dst FROM (SELECT s, d + 1 + (s * 7919 + d * 104729 + i * 1299709 + 5) % room AS g FROM dr) w WHERE g <> s AND NOT EXISTS (SELECT 1 FROM base b WHERE b.s = g AND b.d = w.s)", *_GAPS))
 def gen_insert_candidates(spark, sf_dir):
-    return dynamic.insert_candidates(fx.base(spark, sf_dir).edges)
+    return dynamic.insert_candidates(fx.base(spark, sf_dir).edges, 1000, 5)
+
+
+@query(fx.sql("SELECT f, (f * m)::BIGINT AS inserted, (f * m)::BIGINT AS deleted, true AS apart FROM (SELECT count(*)::DOUBLE AS m FROM base), (VALUES (0.015625), (0.0625), (0.125)) t(f)".replace("(f * m)::BIGINT", "floor(f * m)::BIGINT").replace("SELECT f,", "SELECT f::DOUBLE AS fraction,")))
+def gen_batches(spark, sf_dir):
+    """How many edges each batch inserts and deletes; inserted ones are new, deleted ones old."""
+    e = fx.base(spark, sf_dir).edges
+    out = None
+    for f, (new, old) in dynamic.make_batches(e, (0.015625, 0.0625, 0.125), 0.2, 3).items():
+        apart = new.join(e, ["src", "dst"], "left_semi").isEmpty() and old.join(e, ["src", "dst"], "left_anti").isEmpty()
+        row = new.agg(F.lit(f).alias("fraction"), F.count("*").alias("inserted")).join(old.agg(F.count("*").alias("deleted"))).withColumn("apart", F.lit(apart))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query(fx.sql("SELECT s AS src, d AS dst FROM base ORDER BY md5('3:' || s || ':' || d), s, d LIMIT 100"))
@@ -663,11 +776,15 @@ def map_put_remove(spark, sf_dir):
     return coll.remove(coll.put(m, new), m.filter("key % 5 = 0").select("key"))
 
 
-@query("SELECT c_nationkey, CAST(sum(c_custkey) AS BIGINT) AS total, product(1.0 + c_custkey % 2) AS product, min(c_custkey) AS least, max(c_custkey) AS most, bool_and(c_acctbal > 0) AS every, bool_or(c_acctbal > 0) AS some FROM customer WHERE c_custkey < 300 GROUP BY 1")
+@query("""SELECT c_nationkey, sum(x) AS total, product(x) AS product, min(x) AS least, max(x) AS most, bool_and(c_acctbal > -500) AS every, bool_or(c_acctbal > 9900) AS some
+    FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN -1.0 ELSE 1.0 END::DOUBLE * CASE c_custkey WHEN 3 THEN 0.5 WHEN 5 THEN 4 ELSE 1 END::DOUBLE AS x FROM customer) GROUP BY 1""")
 def reductions(spark, sf_dir):
-    c = fx.table(spark, sf_dir, "customer").filter("c_custkey < 300").withColumn("flag", F.col("c_acctbal") > 0)
-    two = c.groupBy("c_nationkey").agg(F.product(1.0 + F.col("c_custkey") % 2).alias("product"))
-    return coll.reductions(c, "c_custkey", "flag", "c_nationkey").drop("product").join(two, "c_nationkey")
+    """Over all customers; of factors whose product is exact in any order: signs, a half, a four."""
+    c = fx.table(spark, sf_dir, "customer")
+    x = F.when(F.col("c_acctbal") < 0, -1.0).otherwise(1.0) * F.when(F.col("c_custkey") == 3, 0.5).when(F.col("c_custkey") == 5, 4.0).otherwise(1.0)
+    both = c.select("c_nationkey", x.alias("x"), (F.col("c_acctbal") > -500).alias("low"), (F.col("c_acctbal") > 9900).alias("high"))
+    every = coll.reductions(both, "x", "low", "c_nationkey").drop("some")
+    return every.join(coll.reductions(both, "x", "high", "c_nationkey").select("c_nationkey", "some"), "c_nationkey")
 
 
 @query(fx.sql("SELECT s // 32768 AS bucket, count(DISTINCT s) AS members FROM base GROUP BY 1"))

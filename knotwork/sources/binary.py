@@ -2,7 +2,8 @@
 
 Basic: magic, size of a vertex id, size of an edge id, N, M, begin[N + 1], dest[M]. Extended:
 another magic, the same, then a flag and keys of the vertices, and typed vertex and edge columns.
-Numbers after the two sizes have those sizes. A file is one sequence, so it is written by the
+Numbers after the two sizes have those sizes. Old files in which every number is little-endian are
+read, too; the magic tells. A file is one sequence, so it is written by the
 driver as a stream in sorted order, row by row, and read by one task for each file; parquet is
 the format for large graphs."""
 
@@ -27,10 +28,10 @@ _LAYOUT = {"bool": "?", "int": ">i4", "long": ">i8", "float": ">f4", "double": "
 
 class _Reader:
     def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+        self.raw, self.at, self.flipped = raw, 0, False
 
     def take(self, kind: str, n: int = 1) -> np.ndarray:
-        out = np.frombuffer(self.raw, np.dtype(kind), n, self.at)
+        out = np.frombuffer(self.raw, np.dtype(kind.replace(">", "<") if self.flipped else kind), n, self.at)
         self.at += out.nbytes
         return out
 
@@ -42,9 +43,9 @@ def _open(raw: bytes, magic: int) -> tuple[_Reader, str, str, int, int]:
     r = _Reader(raw)
     found = r.one()
     if found != magic:
-        if found == struct.unpack("<I", struct.pack(">I", magic))[0]:  # written the other way round
-            raise ValueError("little-endian file; byte order must be big-endian")
-        raise ValueError(f"not a graph file of this kind: magic {found:#x}")
+        if found != struct.unpack("<I", struct.pack(">I", magic))[0]:
+            raise ValueError(f"not a graph file of this kind: magic {found:#x}")
+        r.flipped = True  # an old file, written the other way round
     node, edge = r.one(), r.one()
     if node not in (4, 8) or edge not in (4, 8):
         raise ValueError("ids must have 4 or 8 bytes")
