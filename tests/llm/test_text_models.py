@@ -49,7 +49,7 @@ def brute_tree(docs, depth):
     @functools.cache
     def keep(ctx):
         own = n.get(ctx)
-        if not own or sum(own.values()) < suffix_tree.LEAST:
+        if not own or sum(own.values()) < suffix_tree.least_count(len(ctx), total):
             return False
         a = sum(own.values())
         return sum(c * math.log(c / a / p(ctx[1:], x)) for x, c in own.items()) > len(own) * math.log(a) / 4
@@ -76,6 +76,8 @@ def brute_tree(docs, depth):
 @pytest.mark.parametrize("depth, tokens_in_block", [(1, 10_000), (2, 10_000), (2, 150), (3, 60)])
 def test_suffix_tree_against_brute_force(spark, monkeypatch, depth, tokens_in_block):
     monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", tokens_in_block)
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 6 * tokens_in_block)
+    assert suffix_tree.least_count(1, 10**9) == 8 and suffix_tree.least_count(2, 10**4) == 8 and suffix_tree.least_count(2, 10**10) == 1000
     rng = np.random.default_rng(2)
     vocabulary = ["the", "of", "And", "thing", "ring", "é", "x1", "and"]
     docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 30))), bool(i % 5 == 2)) for i in range(120)]
