@@ -25,30 +25,48 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (local tests) a temporary folder, which then becomes the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a
+    temporary folder if they are one process (local tests), which then becomes the checkpoint
+    folder, else an error: other machines could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         folder = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="knotwork-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and what
-    reads it again survives the loss of any executor. The table goes when the driver ends."""
+    reads it again survives the loss of any executor. The table goes when the driver ends, or
+    with discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     writer = df.write.option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _at(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that stored() returned, once nothing reads it any more."""
+    at, fs = _at(df.sparkSession, df.stored_path)
+    fs.delete(at, True)
+    fs.cancelDeleteOnExit(at)
 
 
 class Buckets:
@@ -63,8 +81,8 @@ class Buckets:
     def add(self, df: DataFrame) -> DataFrame:
         """Write more rows, best dealt out by key already, and return the table as it is then."""
         df.write.mode("append").format("parquet").bucketBy(self.n, self.key).option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+        at, fs = _at(self.spark, self.path)
+        fs.deleteOnExit(at)
         return self.spark.table(self.name)
 
 

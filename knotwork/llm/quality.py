@@ -14,7 +14,8 @@ column, which then replaces them."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -266,9 +267,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
     known = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)  # at most `sample` pairs of numbers
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_id")
-    got = with_statistics(rows, "_text", ["_id", "_y"]).select("_id", "_y", *[f"s_{s}" for s in STATISTICS]).orderBy("_id", "_y", *[f"s_{s}" for s in STATISTICS]).limit(sample).toArrow()
-    x = np.stack([got.column(f"s_{s}").to_numpy() for s in STATISTICS], 1) if got.num_rows else np.zeros((0, len(STATISTICS)))
-    return fit_rules(x, got.column("_y").to_numpy().astype(float) if got.num_rows else np.zeros(0))
+    order = ["_id", "_y", *[f"s_{s}" for s in STATISTICS]]
+    got = with_statistics(rows, "_text", ["_id", "_y"]).select(*order).orderBy(*order).limit(sample)  # `sample` rows of numbers at most
+
+    def run(group: pa.Table) -> pa.Table:
+        """The whole fit in one task, in the rows' order."""
+        group = group.sort_by([(c, "ascending") for c in order])
+        x = np.stack([group.column(f"s_{s}").to_numpy() for s in STATISTICS], 1)
+        return pa.table({"model": [json.dumps(asdict(fit_rules(x, group.column("_y").to_numpy().astype(float))))]})
+
+    told = got.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, "model string").first()
+    if told is None:
+        return fit_rules(np.zeros((0, len(STATISTICS))), np.zeros(0))
+    model = json.loads(told.model)
+    return Model(model["bias"], tuple((w, tuple(map(tuple, terms))) for w, terms in model["rules"]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators 3 and 6 against brute force, and edge cases."""
 
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +257,10 @@ def test_salted(spark, monkeypatch):
     assert sorted(got.collect()) == sorted(many.join(one, "k").collect())
     left = common.salted(many, one, ["k"], "x", "c", common.share_of(5000), "left")
     assert left.count() == 5000 and left.filter("c is null").count() == many.filter("k = 3").count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_substring_dedup_query(spark):
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
+    got = [tuple(r) for r in suffix_dedup.op3_suffix_dedup(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(brute_removed(docs))

@@ -1,0 +1,34 @@
+"""The registered queries whose rows SQL can give, against their SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from knotwork.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+
+
+def plain(x):
+    return round(float(x), 6) if isinstance(x, float) else x
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{FOLDER}/{f}'")
+    df = queries.QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    cur = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == columns
+    key = lambda r: [(x is None, str(x)) for x in r]
+    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cur.fetchall()), key=key)
+    assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=key) == want and want
+
+
+def test_every_operator_has_a_query():
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))

@@ -1,13 +1,16 @@
 """Operators 1, 4, 7 and 10: brute-force versions, round trips, held-out accuracy, edge cases."""
 
 import functools
+import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,8 +227,8 @@ def test_quality(spark):
 def test_quality_sample(spark, monkeypatch):
     """More than 8 000 labelled rows are all fitted on."""
     docs = spark.range(9_000).selectExpr("id as doc_id", "concat('w', id) as text")
-    monkeypatch.setattr(quality, "fit_rules", lambda x, y: (len(x), len(y)))
-    assert quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), "quality") == (9_000, 9_000)
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: quality.Model(float(len(x)), ((float(len(y)), (("words", True, 0.5),)),)))
+    assert quality.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"), "quality") == quality.Model(9_000.0, ((9_000.0, (("words", True, 0.5),)),))
 
 
 def test_quality_fit_is_whole(monkeypatch):
@@ -257,3 +260,136 @@ def test_lasso_in_blocks():
     p = 1 / (1 + np.exp(-(x[rows] @ w.astype(float) + bias)))
     slope = x[rows].T @ (p - y) / len(y)
     assert abs((p - y).mean()) < 1e-4 and all(abs(g + 0.001 * np.sign(v)) < 2e-4 if v else abs(g) < 0.0012 for g, v in zip(slope, w))
+
+
+def brute_tree_paths(codes, grad, hess, features):
+    """Every split tried at every node, one row at a time."""
+    paths, out = [], np.zeros(len(grad))
+
+    def worth(rows):
+        return sum(grad[r] for r in rows) ** 2 / (sum(hess[r] for r in rows) + 1)
+
+    def grow(path, rows):
+        if path:
+            paths.append(tuple(sorted(path)))
+        best = (1e-6, None, None)
+        if len(path) < quality.DEPTH and len(rows) >= 2 * quality.MIN_LEAF:
+            for f in features:
+                for b in range(quality.BINS):
+                    low, high = [r for r in rows if codes[r, f] <= b], [r for r in rows if codes[r, f] > b]
+                    if min(len(low), len(high)) >= quality.MIN_LEAF:
+                        gain = worth(low) + worth(high) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, b)
+        _, f, b = best
+        if f is None:
+            out[rows] = -quality.SHRINK * sum(grad[r] for r in rows) / (sum(hess[r] for r in rows) + 1)
+            return
+        grow(path + ((f, True, b),), [r for r in rows if codes[r, f] > b])
+        grow(path + ((f, False, b),), [r for r in rows if codes[r, f] <= b])
+
+    grow((), list(range(len(grad))))
+    return sorted(paths), out
+
+
+def test_tree_paths_against_brute_force():
+    rng = np.random.default_rng(3)
+    n = 12 * quality.MIN_LEAF
+    codes = rng.integers(0, quality.BINS, (n, 4))
+    grad = np.where(codes[:, 1] > 5, 0.5, -0.5) + np.where((codes[:, 2] > 9) & (codes[:, 0] > 3), 0.4, 0) + rng.normal(0, 0.1, n)
+    hess = rng.uniform(0.1, 0.25, n)
+    paths, out = quality._tree(codes, grad, hess, np.arange(4))
+    want_paths, want_out = brute_tree_paths(codes, grad, hess, range(4))
+    assert sorted(tuple(sorted(p)) for p in paths) == want_paths and len(paths) > 4
+    assert np.allclose(out, want_out)
+
+
+@pytest.mark.parametrize("penalty", [0.3, 0.02, 0.004])
+def test_lasso_is_optimal(penalty):
+    """At the optimum a zero weight's slope is within the penalty, another's is at it."""
+    rng = np.random.default_rng(5)
+    x = rng.random((600, 30)) < 0.4
+    y = (rng.random(600) < 1 / (1 + np.exp(-(2.0 * x[:, 3] - 1.5 * x[:, 7] + x[:, 11] - 0.3)))).astype(float)
+    bias, w = quality._lasso(x, np.arange(600), y, penalty, (0.0, np.zeros(30)), rounds=5000)
+    r = (1 / (1 + np.exp(-(x @ w.astype(float) + bias))) - y) / 600
+    slope = x.T @ r
+    assert abs(r.sum()) < 1e-3
+    assert (np.abs(slope[w == 0]) <= penalty + 1e-3).all() and np.allclose(slope[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-3)
+    assert (w == 0).sum() > {0.3: 29, 0.02: 15, 0.004: 3}[penalty]
+
+
+def test_rules_as_columns_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 0) > 0).astype(float)
+    model = quality.fit_rules(x, y)
+    assert len(model.rules) > 5
+    at = {s: i for i, s in enumerate(quality.STATISTICS)}
+    z = np.full(400, model.bias)
+    for weight, terms in model.rules:
+        fits = np.ones(400, bool)
+        for name, above, cut in terms:
+            fits &= x[:, at[name]] > cut if above else x[:, at[name]] <= cut
+        z += weight * fits
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, " + ", ".join(f"s_{s} double" for s in quality.STATISTICS))
+    got = np.array([r.p for r in rows.select("i", model.column().alias("p")).orderBy("i").collect()])
+    want = 1 / (1 + np.exp(-z))
+    assert np.allclose(got, want) and ((got > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+# --- the registered queries on the given tables --------------------------------------------
+
+TABLES = "/root/testdata/{}"
+given = pytest.mark.skipif(not os.path.isdir(TABLES.format("sf0.001")), reason="no test tables here")
+
+
+def documents(sf):
+    return pq.read_table(f"{TABLES.format(sf)}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+
+
+@given
+def test_held_out_languages(spark):
+    lang = {r["doc_id"]: r["lang"] for r in documents("sf0.01")}
+    got = [r for r in language.op4_language(spark, TABLES.format("sf0.01")).collect() if r.held_out and lang[r.doc_id] is not None and r.lang_pred != "und"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert len(got) > 100 and sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.98 * len(got)
+
+
+@given
+def test_held_out_quality(spark):
+    label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{TABLES.format('sf0.01')}/labels.parquet").to_pylist()}
+    rows = quality.op10_quality(spark, TABLES.format("sf0.01")).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r["doc_id"] for r in documents("sf0.01"))
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in rows)
+    got = [(r.score, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    good, bad = [s for s, y in got if y == 1], [s for s, y in got if y == 0]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) >= 0.97
+    assert sum((s >= 0.3) == (y == 1) for s, y in got) >= 0.93 * len(got)
+
+
+@given
+def test_suffix_tree_query(spark):
+    docs = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in documents("sf0.001")]
+    want, kept = brute_tree(docs, suffix_tree.DEPTH)
+    assert {len(c) for c in kept} == {1, 2}
+    rows = suffix_tree.op1_suffix_tree_lm(spark, TABLES.format("sf0.001")).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base, score, n, known, total = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
+@given
+def test_bpe_query(spark):
+    P = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.parse_ranks(f.read()), special_tokens={})
+    text = {r["doc_id"]: r["text"] or "" for r in documents("sf0.001")}
+    rows = bpe.op7_byte_bpe(spark, TABLES.format("sf0.001")).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        ids = enc.encode_ordinary(text[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
