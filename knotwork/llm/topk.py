@@ -3,12 +3,12 @@
 The vectors' integer components are the impacts. index() packs the rows of a partition into
 blocks, each an inverted index: postings (slot, dimension, impact), grouped into segments by
 the size class of the impact, largest class first. search() meets every chunk of queries with
-every block and works score at a time: the products of query-weight class a and segment class
-b are added in descending order of the impact that a and b allow. After each level the
-remaining classes bound what any score can still change (Cauchy-Schwarz on the parts not yet
-added). Work on a chunk stops only when that bound proves that few enough vectors can still be
-among the k best; these are then scored exactly in integers. The k best of each block are
-merged per query.
+every block and works score at a time: segment after segment is added to the scores of all
+queries. After each segment the rest bounds what any score can still change (Cauchy-Schwarz on
+the part of a vector not yet added). A block is left only when that bound proves, against the
+k-th best score found before and in this block, that few enough vectors can still be among the
+k best; these are then scored exactly in integers. The k best of each group of blocks are merged
+per query.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no
 part. Shorter vectors count as padded with zeros; empty ones score 0. A query's own row is any
@@ -31,6 +31,8 @@ from .common import stored, table
 BLOCK, CHUNK = 4096, 4096
 #: Queries scored at once against a block.
 STRIP = 512
+#: Blocks, and chunks, that a task meets at most, unless there are too few to keep all cores busy.
+GROUP = 16
 _SEGMENTS = "block long, ids binary, width int, starts binary, slots binary, dims binary, impacts binary"
 
 
@@ -105,100 +107,150 @@ def index(vectors: DataFrame, vec_id: str, impacts: str, block: int = BLOCK) ->
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(impacts).cast("array<long>").alias("impacts")).mapInArrow(run, _SEGMENTS)
 
 
-def _segments(row: dict, width: int, kind: type) -> dict[int, np.ndarray]:
-    """The block's matrix of each impact class, the largest class first."""
-    n = len(row["ids"]) // 8
-    starts = np.frombuffer(row["starts"], np.int64)
-    slots, dims, impacts = (_wide(row[c]) for c in ("slots", "dims", "impacts"))
-    out = {}
-    top = len(starts) - 1
-    for i in range(top):
-        s, e = starts[i], starts[i + 1]
-        if e > s:
-            m = np.zeros((n, width), kind)
-            m[slots[s:e], dims[s:e]] = impacts[s:e]
-            out[top - i] = m
-    return out
-
-
-def _best(block: dict, chunk: dict, k: int):
-    """The block's possible k best for each query of the chunk: (query, own number, vec_id, score)."""
-    ids, queries = np.frombuffer(block["ids"], np.int64), np.frombuffer(chunk["ids"], np.int64)
-    width = max(block["width"], chunk["width"], 1)
-    exact_x = sum(_segments(block, width, np.int64).values(), np.zeros((len(ids), width), np.int64))
-    exact_q = sum(_segments(chunk, width, np.int64).values(), np.zeros((len(queries), width), np.int64))
-    most = float(np.abs(exact_x).max(initial=0)) * float(np.abs(exact_q).max(initial=0)) * width
-    if most >= 1 << 63:
-        raise OverflowError("scores don't fit into 64 bits")
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None
-    got = []
-    if kind is not None:
-        xs, qs = _segments(block, width, kind), _segments(chunk, width, kind)
-        norm = lambda m: np.sqrt((m.astype(np.float64) ** 2).sum(1))
-        xn, qn = {b: norm(m) for b, m in xs.items()}, {a: norm(m) for a, m in qs.items()}
-        levels = sorted({a + b for a in qs for b in xs}, reverse=True)
-    for at in range(0, len(queries), STRIP):
-        q_ids = queries[at : at + STRIP]
-        own = q_ids[:, None] == ids[None, :]
-        if kind is None:  # integers too large for floats: score them all
-            rows, cols = np.nonzero(~own)
-            got.append((rows + at, cols))
-            continue
-        score = np.zeros((len(q_ids), len(ids)), kind)
-        for i, level in enumerate([*levels, None]):
-            if level is not None:
-                for a, m in qs.items():
-                    if (b := level - a) in xs:
-                        score += m[at : at + STRIP] @ xs[b].T
-            left = [(a, b) for a in qs for b in xs if level is not None and a + b < level]
-            if left and i + 1 < len(levels) and i < len(levels) // 2:
-                continue  # more than half of the levels are still to come
-            rest = sum((np.outer(qn[a][at : at + STRIP], xn[b]).astype(kind) * kind(1.0001) for a, b in left), kind(0))
-            low = np.where(own, -np.inf, score - rest)
-            if low.shape[1] > k:
-                bar = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-                maybe = (score + rest >= bar[:, None]) & ~own
-            else:
+class _Postings:
+    """A block as read: exact vectors, and posting segments by descending impact class, each with
+    the norms of what the classes after it hold. A segment that fills its matrix is kept as one,
+    any other as the postings of each dimension."""
+
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        starts = np.frombuffer(row["starts"], np.int64)
+        slots, dims, impacts = (_wide(row[c]) for c in ("slots", "dims", "impacts"))
+        self.width = max(row["width"], 1)
+        self.exact = np.zeros((len(self.ids), self.width), np.int64)
+        self.exact[slots, dims] = impacts
+        self.most = float(np.abs(impacts).max(initial=0))
+        self.segments, self.rest = [], []
+        left = np.bincount(slots, impacts.astype(float) ** 2, len(self.ids))
+        for i in range(len(starts) - 1):
+            at = slice(starts[i], starts[i + 1])
+            if starts[i + 1] > starts[i]:
+                self.segments.append((slots[at], dims[at], impacts[at]))
+                left = left - np.bincount(slots[at], impacts[at].astype(float) ** 2, len(self.ids))
+                self.rest.append(np.sqrt(np.maximum(left, 0)))
+        if self.rest:
+            self.rest[-1] = np.zeros(len(self.ids))
+        self.dense: dict = {}
+
+    def add(self, score: np.ndarray, q: np.ndarray, i: int) -> None:
+        """Add the products of segment i with the queries' weights."""
+        slots, dims, impacts = self.segments[i]
+        if len(slots) * 8 >= self.exact.size:
+            if (i, q.dtype) not in self.dense:
+                m = np.zeros((self.width, len(self.ids)), q.dtype)
+                m[dims, slots] = impacts
+                self.dense[i, q.dtype] = m
+            score += q[:, : self.width] @ self.dense[i, q.dtype]
+            return
+        order = np.argsort(dims, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(dims[order])) + 1):
+            if len(part):  # a slot occurs once in a dimension
+                score[:, slots[part]] += np.outer(q[:, dims[part[0]]], impacts[part].astype(q.dtype))
+
+
+class _Best:
+    """The k best rows so far of each query of a chunk."""
+
+    def __init__(self, chunk: _Postings, k: int):
+        self.chunk, self.k = chunk, k
+        self.bar = np.full(len(chunk.ids), -np.inf)  # the k-th best score, once there are k
+        none = np.zeros(0, np.int64)
+        self.rows, self.ids, self.scores = none, none, none
+
+    def meet(self, block: _Postings) -> None:
+        width = max(block.width, self.chunk.width)
+        most = block.most * self.chunk.most * width
+        if most >= 1 << 63:
+            raise OverflowError("scores don't fit into 64 bits")
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None
+        n = len(self.chunk.ids)
+        exact_q, exact_x = (np.pad(p.exact, ((0, 0), (0, width - p.width))) for p in (self.chunk, block))
+        rows, cols = [], []
+        for at in range(0, n, STRIP):
+            own = self.chunk.ids[at : at + STRIP, None] == block.ids[None]
+            if kind is None:  # integers too large for floats: score them all
                 maybe = ~own
-            if not left or (maybe.sum(1) <= 4 * k).all():
+            else:
+                maybe = self._possible(block, exact_q[at : at + STRIP].astype(kind), own, self.bar[at : at + STRIP])
+            r, c = np.nonzero(maybe)
+            rows.append(r + at)
+            cols.append(c)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        score = np.empty(len(rows), np.int64)
+        for s in range(0, len(rows), 1 << 16):
+            score[s : s + (1 << 16)] = (exact_q[rows[s : s + (1 << 16)]] * exact_x[cols[s : s + (1 << 16)]]).sum(1)
+        rows, ids, score = np.append(self.rows, rows), np.append(self.ids, block.ids[cols]), np.append(self.scores, score)
+        order = np.lexsort((ids, -score, rows))
+        rows, ids, score = rows[order], ids[order], score[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < self.k
+        self.rows, self.ids, self.scores = rows[keep], ids[keep], score[keep]
+        last = np.searchsorted(self.rows, np.arange(n), side="right") - 1
+        full = np.bincount(self.rows, minlength=n) == self.k
+        self.bar[full] = self.scores[last[full]]
+
+    def _possible(self, block: _Postings, q: np.ndarray, own: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        """Which rows of the block can still be among the k best of which queries."""
+        score = np.zeros(own.shape, q.dtype)
+        norm = np.sqrt((q.astype(float) ** 2).sum(1))
+        maybe = ~own
+        for i in range(len(block.segments)):
+            block.add(score, q, i)
+            rest = np.outer(norm, block.rest[i]).astype(q.dtype) * q.dtype.type(1.0001)
+            reach = bar
+            if own.shape[1] > self.k:  # the block's own k-th best proves a bar, too
+                low = np.where(own, -np.inf, score - rest)
+                reach = np.maximum(bar, -np.partition(-low, self.k - 1, axis=1)[:, self.k - 1])
+            maybe = (score + rest >= reach[:, None]) & ~own
+            if (maybe.sum(1) <= 4 * self.k).all():
                 break
-        rows, cols = np.nonzero(maybe)
-        got.append((rows + at, cols))
-    rows = np.concatenate([r for r, _ in got]) if got else np.zeros(0, np.int64)
-    cols = np.concatenate([c for _, c in got]) if got else np.zeros(0, np.int64)
-    score = np.empty(len(rows), np.int64)
-    for s in range(0, len(rows), 1 << 16):
-        score[s : s + (1 << 16)] = (exact_q[rows[s : s + (1 << 16)]] * exact_x[cols[s : s + (1 << 16)]]).sum(1)
-    order = np.lexsort((ids[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return queries[rows[keep]], rows[keep], ids[cols[keep]], score[keep]
+        return maybe
 
 
-def search(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows for each query row. blocks and
-    queries come from index(). Each chunk of queries, a stated set, meets each block once."""
-    chunks = stored(queries, "queries")
-    keys = [r[0] for r in chunks.select("block").orderBy("block").collect()]  # one for some thousands of queries
-    if not keys:
-        return chunks.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    names = [f"q_{c}" for c in chunks.columns]
-    pairs = blocks.withColumn("q_block", F.explode(F.array(*[F.lit(x).cast("long") for x in keys]))).join(chunks.toDF(*names), "q_block")
+def _numbered(blocks: DataFrame, name: str) -> DataFrame:
+    """blocks with 0, 1, ... in `name`; only their ids, one for some thousands of rows, are ordered."""
+    place = blocks.select("block").withColumn(name, (F.row_number().over(Window.orderBy("block")) - 1).cast("int"))
+    return blocks.join(place, "block")
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                chunk = {c[2:]: v for c, v in row.items() if c[:2] == "q_"}
-                q, own, v, s = _best(row, chunk, k)
-                yield pa.RecordBatch.from_pydict({"query_id": q, "own": (chunk["block"] << 13) + own, "vec_id": v, "score": s})
 
-    found = pairs.mapInArrow(run, "query_id long, own long, vec_id long, score long")
+def search(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows for each query row. blocks and
+    queries come from index(). Groups of query chunks, a stated set, meet groups of blocks, each
+    pair of groups in a task: a block is copied once for a group of chunks, and a chunk's k best
+    from one block are the bar for the next."""
+    spark = blocks.sparkSession
+    blocks, chunks = stored(blocks, "blocks"), stored(queries, "queries")
+    n_blocks, n_chunks = blocks.count(), chunks.count()
+    if not n_chunks or not n_blocks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    c_groups = -(-n_chunks // GROUP)
+    b_groups = max(-(-n_blocks // GROUP), min(n_blocks, -(-spark.sparkContext.defaultParallelism // c_groups)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _numbered(blocks, "no").withColumn("b", F.col("no") % b_groups).drop("no").withColumn("c", every(c_groups))
+    right = _numbered(chunks, "no").withColumn("c", F.col("no") % c_groups).drop("no").withColumn("b", every(b_groups))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        met = [_Best(_Postings(row), k) for row in _rows(right)]
+        for row in _rows(left):
+            block = _Postings(row)
+            for best in met:
+                best.meet(block)
+        out = {"query_id": [np.zeros(0, np.int64)], "own": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0, np.int64)]}
+        for best, number in zip(met, right.column("block").to_pylist()):
+            for name, x in (("query_id", best.chunk.ids[best.rows]), ("own", (number << 13) + best.rows), ("vec_id", best.ids), ("score", best.scores)):
+                out[name].append(x)
+        return pa.table({name: np.concatenate(x) for name, x in out.items()})
+
+    sizes = "query_id long, own long, vec_id long, score long"
+    found = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, sizes)
     w = Window.partitionBy("query_id", "own").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _rows(group: pa.Table):
+    for i in range(group.num_rows):
+        yield group.slice(i, 1).to_pylist()[0]
+
+
 # --- query ---------------------------------------------------------------------------
 
 
