@@ -28,6 +28,13 @@ def xorshift32(x: Column) -> Column:
     return x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(low)).bitwiseAND(low)
 
 
+def xorshift64(x: Column) -> Column:
+    """The next state of a 64-bit xorshift generator (shifts 13, 7, 17) over signed numbers."""
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftright(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
 def bit(bits: Column, n: Column) -> Column:
     """Bit n of a number."""
     return F.call_function("bit_get", bits, n.cast("int"))

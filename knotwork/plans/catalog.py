@@ -806,6 +806,25 @@ def random_states(spark, sf_dir):
     return fx.table(spark, sf_dir, "customer").select(v.alias("v"), numeric.xorshift32(v + 1).alias("state"))
 
 
+def _left(x: str, n: int) -> str:
+    """x shifted left by n within 64 signed bits, without overflow on the way."""
+    return f"((({x} & {(1 << 63 - n) - 1}) << {n}) + CASE WHEN ({x} >> {63 - n}) & 1 = 1 THEN -9223372036854775807 - 1 ELSE 0 END)"
+
+
+@query(f"""WITH a AS (SELECT c_custkey AS v, (c_custkey + 1) * 4611686018427 AS x FROM customer), b AS (SELECT v, xor(x, {_left("x", 13)}) AS x FROM a), c AS (SELECT v, xor(x, x >> 7) AS x FROM b)
+SELECT v, xor(x, {_left("x", 17)}) AS state FROM c""")
+def random_states_64(spark, sf_dir):
+    v = F.col("c_custkey")
+    return fx.table(spark, sf_dir, "customer").select(v.alias("v"), numeric.xorshift64((v + 1) * F.lit(4611686018427)).alias("state"))
+
+
+@query("SELECT true AS inside, true AS centred, true AS below, count(*) AS n FROM customer")
+def random_draws(spark, sf_dir):
+    """Uniform draws lie in [0, 1) around a half, and bounded ones below their bound."""
+    c = fx.table(spark, sf_dir, "customer").select(numeric.random_uniform(F.col("c_custkey"), 3).alias("u"), numeric.random_below(F.col("c_custkey"), 4, 10).alias("k"))
+    return c.agg(F.bool_and((F.col("u") >= 0) & (F.col("u") < 1)).alias("inside"), (F.abs(F.avg("u") - 0.5) < 2 / F.sqrt(F.count("*"))).alias("centred"), F.bool_and(F.col("k").between(0, 9)).alias("below"), F.count("*").alias("n"))
+
+
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
 """Micro graphs, equivalence of the plans, batches against recomputation."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from knotwork import Graph
+from knotwork.loop import cut
 from knotwork.operators import dynamic, local, report, split, strategies, traverse, trim
 
 MICRO = {
@@ -62,8 +64,7 @@ def test_micro_graphs_together(spark, strategy):
         n += size
     g = graph(spark, n, edges)
     assert rows(strategies.scc(g, strategy)) == want
-    if strategy in ("global_fb", "coloring"):
-        assert rows(strategies.scc(g, strategy, local_rows=0)) == want
+    assert rows(strategies.scc(g, strategy, local_rows=0)) == want
 
 
 def test_empty_graph(spark):
@@ -124,7 +125,83 @@ def test_batches(spark, name):
     else:
         for method in (dynamic.delete_affected, dynamic.delete_confined):
             assert rows(method(g, labels, batch)) == want, method
-    assert rows(dynamic.apply_batch(g, labels, spark.createDataFrame(ops, "op string, src long, dst long"))[1]) == want
+    mixed = spark.createDataFrame(ops, "op string, src long, dst long")
+    assert rows(dynamic.apply_batch(g, labels, mixed)[1]) == want
+    after, state = dynamic.apply_to_state(g.edges, dynamic.condense_counted(g.edges, labels), labels, mixed)
+    left = [e for e in edges if e not in gone] + new
+    assert rows(after) == want
+    assert {(r.src, r.dst): r.copies for r in state.collect()} == Counter((want[s], want[d]) for s, d in left if want[s] != want[d])
+
+
+@pytest.mark.parametrize("method, name", [("insert_condensed", "insert_merge"), ("insert_levels", "insert_merge"), ("insert_touched", "insert_merge"), ("delete_affected", "delete_split"), ("delete_confined", "delete_split")])
+def test_batches_without_a_local_finisher(spark, method, name):
+    n, edges, ops = BATCHES[name]
+    g = graph(spark, n, edges)
+    gone, new = {(s, d) for o, s, d in ops if o == "-"}, [(s, d) for o, s, d in ops if o == "+"]
+    batch = spark.createDataFrame([(s, d) for _, s, d in ops], "src long, dst long")
+    want = closure_labels(n, [e for e in edges if e not in gone] + new)
+    assert rows(getattr(dynamic, method)(g, strategies.scc(g), batch, local_rows=0)) == want
+
+
+def test_state_through_random_batches(spark):
+    """Labels and condensation kept through batches that insert and delete, copies and loops in."""
+    rng = random.Random(12)
+    n = 24
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(30)]
+    g = graph(spark, n, edges)
+    labels = strategies.scc(g)
+    state = dynamic.condense_counted(g.edges, labels)
+    for _ in range(3):
+        gone = {rng.choice(edges) for _ in range(4)}
+        new = [(rng.randrange(n), rng.randrange(n)) for _ in range(4)]
+        ops = spark.createDataFrame([("-", *e) for e in gone] + [("+", *e) for e in new], "op string, src long, dst long")
+        labels, state = (cut(x) for x in dynamic.apply_to_state(graph(spark, n, edges).edges, state, labels, ops))
+        edges = [e for e in edges if e not in gone] + new
+        want = closure_labels(n, edges)
+        assert rows(labels) == want
+        assert {(r.src, r.dst): r.copies for r in state.collect()} == Counter((want[s], want[d]) for s, d in edges if want[s] != want[d])
+
+
+def test_repeated_pairs(spark):
+    """A chain of pairs: each pass takes out those that are each other's only neighbour."""
+    edges = [(0, 1), (1, 0), (2, 3), (3, 2), (1, 2), (4, 5), (5, 4), (3, 4)]
+    g = graph(spark, 6, edges)
+    active = g.vertices.selectExpr("v", "0L as color")
+    a, e, found, n = trim.trim2_repeated(active, trim.restrict(g.edges, active))
+    assert rows(found) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4} and n == 6 and a.isEmpty() and e.isEmpty()
+
+
+def test_trim_of_a_path_stops(spark):
+    """Each pass takes both ends of a path; a stop leaves the middle to others."""
+    g = graph(spark, 60, [(i, i + 1) for i in range(59)])
+    active = g.vertices.selectExpr("v", "0L as color")
+    e = trim.restrict(g.edges, active)
+    assert trim.trim1(active, e, stop=2)[3] == 2
+    a, left, found, n = trim.trim1(active, e)
+    assert n == 60 and a.isEmpty() and left.isEmpty() and rows(found) == {v: v for v in range(60)}
+
+
+def test_search_prunes_and_goes_on(spark, monkeypatch):
+    """Levels do not depend on how many a job takes, on pruning, or on tables put together."""
+    rng = random.Random(13)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    g = graph(spark, 60, edges)
+    start = spark.range(1).withColumnRenamed("id", "v")
+    level, todo = {0: 0}, [0]
+    for v in todo:
+        for s, d in edges:
+            if s == v and d not in level:
+                level[d] = level[v] + 1
+                todo.append(d)
+    for hops, compact, prune in ((1, 2, 0.0), (4, 8, 0.25), (3, 1, 0.05)):
+        monkeypatch.setattr(traverse, "HOPS", hops)
+        monkeypatch.setattr(traverse, "COMPACT", compact)
+        monkeypatch.setattr(traverse, "PRUNE", prune)
+        assert {r.v: r.level for r in traverse.bfs(g.edges, start).collect()} == level
+        assert {r.v: r.level for r in traverse.bfs(g.edges, start, max_level=2).collect()} == {v: n for v, n in level.items() if n <= 2}
+    dag = spark.createDataFrame([(min(e), max(e)) for e in edges if e[0] != e[1]], "src long, dst long")
+    one, many = (sorted(tuple(r) for r in traverse.topological_levels(dag, g.vertices, local_rows=n).collect()) for n in (1000, 0))
+    assert one == many and len(one) == 60
 
 
 def test_affected_levels_and_touched(spark):

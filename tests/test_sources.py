@@ -51,6 +51,21 @@ def test_binary_files(spark, tmp_path):
         binary.read(spark, str(tmp_path / "ext")).edges.collect()
 
 
+def test_flipped_binary_files(spark, tmp_path):
+    """Old files, every number little-endian, give what the others give."""
+    import struct
+
+    basic = struct.pack("<IIIii", binary.BASIC_MAGIC, 4, 4, 3, 2) + struct.pack("<4i", 0, 1, 1, 2) + struct.pack("<2i", 2, 1)
+    (tmp_path / "old").write_bytes(basic)
+    back = binary.read(spark, str(tmp_path / "old"))
+    assert sorted(tuple(r) for r in back.edges.collect()) == [(0, 2, 0), (2, 1, 1)] and back.vertices.count() == 3
+    more = struct.pack("<?3q", True, 7, 8, 9) + struct.pack("<IIQ3q", 1, binary.KINDS["long"], 24, 4, 5, 6) + struct.pack("<IIQ2d", 1, binary.KINDS["double"], 16, 0.5, 1.5)
+    (tmp_path / "old_ext").write_bytes(struct.pack("<I", binary.EXTENDED_MAGIC) + basic[4:] + more)
+    edges, vertices = binary.read_extended(spark, str(tmp_path / "old_ext"), {"x": "long"}, {"w": "double"})
+    assert sorted(tuple(r) for r in edges.collect()) == [(0, 2, 0.5), (2, 1, 1.5)]
+    assert sorted(tuple(r) for r in vertices.collect()) == [(0, 7, 4), (1, 8, 5), (2, 9, 6)]
+
+
 def test_parquet_schema_is_checked(spark, tmp_path):
     g = Graph(spark.createDataFrame([(0, 1)], "src long, dst long"), spark.range(2).withColumnRenamed("id", "v"))
     tables.write(g, str(tmp_path / "g"))
