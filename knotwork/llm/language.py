@@ -10,7 +10,7 @@ automata's transition tables.
 Text is lower-cased; digits, punctuation and white space are one symbol each. A text that is
 null or has no letter is `und` with score 0. Ties go to the language first in order. Rows with
 null or empty text or null lang teach nothing; without any language every text is `und`.
-Repeated rows are judged alike. An empty table gives an empty result. Extra columns are
+Very long texts are parsed whole, in time proportional to their length. Repeated rows are judged alike. An empty table gives an empty result. Extra columns are
 carried through by identify() unless they clash with an output column, which then replaces
 them."""
 
@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, fresh, held_out, remainder, slices, table
+from .common import buffers, fresh, held_out, remainder, slices, stored, table
 
 #: Labelled text for each language: bytes, and rows to choose them from, at most.
-SAMPLE_BYTES, SAMPLE_ROWS = 24_000, 64
-#: Texts up to so many characters are taken before longer ones.
-SHORT = 4000
+SAMPLE_BYTES, SAMPLE_ROWS = 24_000, 4096
+#: Of a longer text so many characters are taken, from a place that its hash tells.
+PIECE = 4000
 SEGMENT = 1024
 UNKNOWN = "und"
 
@@ -152,24 +152,23 @@ def _automata(model: Model) -> Automata:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Choose whole labelled texts for each language in the order of their ids' hashes, short
-    ones first, until sample_bytes are reached; the last one is cut there."""
+    """Choose labelled texts for each language in the order of their hashes, whole or a PIECE of
+    each, until sample_bytes are reached. The driver holds so many bytes for each language."""
     known = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang"), F.lower(f"`{text}`").alias("_text")).filter("_lang is not null and _text <> ''")
-    w = Window.partitionBy("_lang").orderBy(F.col("_size") > SHORT, "_hash", "_id")
-    few = known.select("_lang", "_id", F.xxhash64("_id", "_text").alias("_hash"), F.length("_text").alias("_size")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE_ROWS)
-    chosen: dict[str, list[int]] = {}
-    room: dict[str, int] = {}
-    for r in few.orderBy("_lang", "_n").collect():  # SAMPLE_ROWS numbers for each language
-        if room.setdefault(r["_lang"], sample_bytes) > 0:
-            room[r["_lang"]] -= r["_size"]
-            chosen.setdefault(r["_lang"], []).append(r["_hash"])
-    wanted = [h for hs in chosen.values() for h in hs]
-    if not wanted:
-        return Model((), ())
+    known = known.withColumn("_hash", F.xxhash64("_id", "_text"))
+    w = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    few = known.select("_lang", "_id", "_hash", F.least(F.length("_text"), F.lit(PIECE)).alias("_size")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE_ROWS)
+    sums = w.rowsBetween(Window.unboundedPreceding, -1)
+    few = stored(few.withColumn("_before", F.coalesce(F.sum("_size").over(sums), F.lit(0))).filter(F.col("_before") < sample_bytes).select("_lang", "_hash", "_n"), "chosen")
+    start = F.pmod(F.xxhash64("_hash"), F.greatest(F.length("_text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    rows = known.join(F.broadcast(few), ["_lang", "_hash"]).select("_lang", "_hash", "_n", F.substring("_text", start, F.lit(PIECE)).alias("_text")).dropDuplicates(["_lang", "_hash"])
     texts: dict[tuple[str, int], bytes] = {}
-    rows = known.withColumn("_hash", F.xxhash64("_id", "_text")).filter(F.col("_hash").isin(wanted)).select("_lang", "_hash", F.substring("_text", 1, sample_bytes).alias("_text")).dropDuplicates(["_lang", "_hash"])
-    for r in rows.collect():
+    chosen: dict[str, list[int]] = {}
+    for r in sorted(rows.collect(), key=lambda r: r["_n"]):
         texts[r["_lang"], r["_hash"]] = r["_text"].encode()
+        chosen.setdefault(r["_lang"], []).append(r["_hash"])
+    if not chosen:
+        return Model((), ())
     samples = []
     for name, hashes in sorted(chosen.items()):
         left, own = sample_bytes, []

@@ -8,7 +8,8 @@ The remaining rules are compiled into one Spark column expression over the stati
 Null text counts as empty; empty texts have zero statistics and a score like any other. Rows
 with null labels or labels other than 0 and 1, or with a null id, teach nothing. Without
 labelled rows every score is 0.5; with labels of one kind only, the smoothed share of label 1.
-Repeated labels of a document count each. Repeated rows score alike. An empty table gives an
+Repeated labels of a document count each. Texts of any length are taken whole. Ties: a statistic at a threshold is not above it; of splits
+that gain alike the first is taken. Repeated rows score alike. An empty table gives an
 empty result. Extra columns are carried through by score() unless they clash with an output
 column, which then replaces them."""
 

@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, stored, table
 from .native import let, lower_ascii, running_sums
 
 Query = tuple  # ("all",) | ("has", trigram) | ("and", queries) | ("or", queries)
@@ -75,6 +75,9 @@ MORE = (
     Rule("private", _KEY_HEADER + _KEY_BODY),
 )
 RULES = BASE + MORE
+#: Candidates (an id, a hash and flags) are broadcast up to this many rows, else texts are shuffled
+#: to them.
+BROADCAST_ROWS = 200_000
 
 
 # --- trigram queries ------------------------------------------------------------------
@@ -235,8 +238,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Seq
     if indexed:
         wanted = sorted(set().union(*(trigrams(queries[i]) for i in indexed)))
         index = postings(rows.select("_id", "_hash", whole.alias("_text")), ["_id", "_hash"], "_text", wanted)
-        found = candidates(index, ["_id", "_hash"], wanted, [queries[i] for i in indexed]).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
-        rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left")
+        found = stored(candidates(index, ["_id", "_hash"], wanted, [queries[i] for i in indexed]).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"}), "candidates")
+        rows = rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_hash") == F.col("_chash")), "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     each = [F.when(F.col(f"c{indexed.index(i)}"), rule_spans(whole, i, r)).otherwise(none) if i in indexed else rule_spans(whole, i, r) for i, r in enumerate(rules)]
     names = F.array(*[F.lit(r.kind) for r in rules])

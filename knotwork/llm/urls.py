@@ -8,7 +8,7 @@ precedence. Whatever nothing speaks against is allowed.
 
 Null, empty or malformed urls (no "://") have an empty host and path, fit no rule, belong to
 no class and are allowed. Repeated rows and urls are judged alike, each row once. Null or
-empty html gives no links. An empty table gives an empty result. Rules of equal length: the
+empty html gives no links; html of any length is searched whole, and all its links count. An empty table gives an empty result. Rules of equal length: the
 one with the greater host. Extra columns of the pages are carried through unless they have the
 name of an output column."""
 
@@ -69,21 +69,41 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         pattern = rf"(?i)\b{name}{attr}"
         return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
-    canonical = value(F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0), "href")
-    refresh = value(F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0), "content")
-    redirect = F.regexp_extract(refresh, r"""(?i)\burl\s*=\s*["']?([^"']*)""", 1)
-    found = pages.select(F.col(url).alias("src"), F.explode(F.array(canonical, redirect)).alias("to"))
-    found = found.withColumn("to", F.trim("to")).filter("src is not null and to is not null and to <> ''")
+    def tags(pattern: str) -> Column:
+        return F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(pattern), F.lit(0))
+
+    canonical = F.transform(tags(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), lambda t: value(t, "href"))
+    refresh = F.transform(tags(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), lambda t: F.regexp_extract(value(t, "content"), r"""(?i)\burl\s*=\s*["']?([^"']*)""", 1))
+    found = pages.select(F.col(url).alias("src"), F.explode(F.concat(canonical, refresh)).alias("to"))
+    found = found.withColumn("to", F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&"))).filter("src is not null and to <> ''")
     base = F.regexp_extract("src", r"^([^/?#]*://[^/?#]*)", 1)
+    page = F.regexp_extract("src", r"^([^/?#]*://[^?#]*)", 1)
     folder = F.regexp_extract("src", r"^([^/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     dst = (
         F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(F.regexp_extract("src", r"^([^/?#]*:)//", 1), "to"))
         .when(F.col("to").startswith("/"), F.concat(base, "to"))
+        .when(F.col("to").startswith("?"), F.concat(page, "to"))
+        .when(F.col("to").startswith("#"), F.col("src"))
         .when(folder.endswith("/") & (F.length(folder) > F.length(base)), F.concat(folder, "to"))
         .otherwise(F.concat(base, F.lit("/"), "to"))
     )
-    return found.select("src", dst.alias("dst"))
+    return found.select("src", dst.alias("dst")).withColumn("dst", F.when(F.col("dst").rlike(r"/\.{1,2}(?:[/?#]|$)"), _without_dots(F.col("dst"))).otherwise(F.col("dst")))
+
+
+def _without_dots(url: Column) -> Column:
+    """A url whose path has its `.` and `..` parts resolved."""
+    head = F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    parts = F.split(path, "/", -1)  # the first is empty: paths begin with a slash
+    last = F.element_at(parts, -1)
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    return F.concat(head, F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")), rest)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:

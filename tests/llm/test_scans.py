@@ -117,6 +117,15 @@ def test_decontamination_empty(spark):
 # --- 5 --------------------------------------------------------------------------------------------
 
 
+def test_links(spark):
+    html = """<link rel="canonical" href="/a"> <LINK href='b/c' REL=canonical><meta http-equiv="refresh" content="0; url=../up?x=1&amp;y=2">
+        <meta http-equiv=refresh content='5;URL=?q=3'> <link rel=canonical href=#top><link rel=canonical href="//other.org/./d/../e/..#f">"""
+    rows = [("http://h.org/x/y/z?k=1", html), ("http://h.org", '<link rel="canonical" href="p"><link rel="canonical" href="../../q/">'), (None, html), ("http://h.org/n", None), ("no", "")]
+    got = urls.links(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert sorted(r.dst for r in got if r.src == rows[0][0]) == sorted(["http://h.org/a", "http://h.org/x/y/b/c", "http://h.org/x/up?x=1&y=2", "http://h.org/x/y/z?q=3", rows[0][0], "http://other.org/#f"])
+    assert sorted(r.dst for r in got if r.src == "http://h.org") == ["http://h.org/p", "http://h.org/q/"] and len(got) == 8
+
+
 def test_url_rules_and_classes(spark):
     page = lambda link="", to="": f'<html><head>{link}{to}</head></html>'
     canonical = lambda u: f'<link href="{u}" rel="canonical">'
@@ -159,7 +168,9 @@ SECRETS = [
 ]
 
 
-def test_secrets_against_brute_force(spark):
+@pytest.mark.parametrize("rows_sent", [200_000, 0])  # broadcast candidates, and shuffled texts
+def test_secrets_against_brute_force(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", rows_sent)
     rng = random.Random(8)
     texts = SECRETS + ["".join(rng.choice(["token", "secret", "=", ":", " ", "'", "abcdefgh", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "zz"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
     rows = list(enumerate(texts)) + [(None, texts[0]), (3, texts[0]), (3, texts[0])]
