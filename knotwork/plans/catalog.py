@@ -88,6 +88,24 @@ def label_file(spark, sf_dir):
     return text.read_labels(spark, path)
 
 
+@query(fx.sql("SELECT v, scc AS label FROM l", fx.closure()))
+def raw_label_file(spark, sf_dir):
+    """Labels written as they are, not renumbered."""
+    path = _folder(spark)
+    text.write_labels(strategies.scc(fx.base(spark, sf_dir)).withColumnRenamed("scc", "label"), path)
+    return text.read_labels(spark, path)
+
+
+@query(fx.sql("SELECT v, v * 0.5 AS half, count(s) AS degree, sum(d) AS ends, sum(s * 3) AS weights FROM vx LEFT JOIN base ON s = v GROUP BY v"))
+def adjacency_records(spark, sf_dir):
+    """Nested records, as Avro files hold them, written as parquet and taken apart again."""
+    path, g = _folder(spark), fx.base(spark, sf_dir)
+    text.to_records(g.edges.withColumn("w", F.col("src") * 3), g.vertices.withColumn("half", F.col("v") * 0.5)).write.parquet(path)
+    edges, vertices = text.from_records(spark.read.parquet(path))
+    near = edges.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"), F.sum("dst").alias("ends"), F.sum("w").alias("weights"))
+    return vertices.join(near, "v", "left").fillna(0, ["degree"])
+
+
 @query(fx.sql("SELECT s AS src, d AS dst, s * 1.5 AS w, s > d AS up FROM base"))
 def typed_edges(spark, sf_dir):
     path = _folder(spark)

@@ -3,9 +3,8 @@
 Basic: magic, size of a vertex id, size of an edge id, N, M, begin[N + 1], dest[M]. Extended:
 another magic, the same, then a flag and keys of the vertices, and typed vertex and edge columns.
 Numbers after the two sizes have those sizes. Old files in which every number is little-endian are
-read, too; the magic tells. A file is one sequence, so it is written by the
-driver as a stream in sorted order, row by row, and read by one task for each file; parquet is
-the format for large graphs."""
+read, too; the magic tells. A file is one sequence: partitions pack their rows' bytes, the driver strings them together in
+order, chunk by chunk, and one task reads a file; parquet is the format for large graphs."""
 
 from __future__ import annotations
 
@@ -13,10 +12,12 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..loop import cut, discard
 
 # Fixed values of the file format.
 BASIC_MAGIC = 0x03939999
@@ -121,15 +122,22 @@ def _stream(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
 
 
-def _column(out, rows: DataFrame, column: str, kind: str) -> None:
-    """One column, partition by partition."""
-    part = bytearray()
-    for row in rows.select(column).toLocalIterator():
-        part += np.array([row[0]]).astype(_LAYOUT[kind]).tobytes()
-        if len(part) > 1 << 20:
-            out.write(bytes(part))
-            part.clear()
-    out.write(bytes(part))
+def _packed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(part, chunk, columns...): the rows in order, some ten thousand to a chunk, each column as
+    its bytes in the file. Partitions pack their own; the driver only strings the chunks together."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for chunk, batch in enumerate(batches):
+            cols = [pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(_LAYOUT[kind]).tobytes()], pa.binary()) for c, kind in columns.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), *cols], names=["part", "chunk", *columns])
+
+    return cut(rows.select(*columns).mapInArrow(run, ", ".join(["part int", "chunk int", *(f"`{c}` binary" for c in columns)])))
+
+
+def _column(out, packed: DataFrame, column: str) -> None:
+    for row in packed.orderBy("part", "chunk").select(column).toLocalIterator():
+        out.write(bytes(row[0]))
 
 
 def write(graph: Graph, path: str, keys: DataFrame | None = None, node_props: dict[str, str] | None = None, edge_props: dict[str, str] | None = None) -> None:
@@ -137,23 +145,30 @@ def write(graph: Graph, path: str, keys: DataFrame | None = None, node_props: di
     columns stand in graph.vertices and graph.edges. Vertices must be 0 .. N - 1."""
     spark = graph.edges.sparkSession
     extended = keys is not None or node_props is not None or edge_props is not None
-    edges = graph.edges.orderBy("src", "dst")
-    begin = graph.offsets().orderBy("v").select((F.col("begin") + F.col("degree")).alias("e"))
+    np_, ep = node_props or {}, edge_props or {}
+    begin = graph.offsets().select("v", (F.col("begin") + F.col("degree")).alias("_end"))
+    nodes = graph.vertices.select("v", *np_).join(begin, "v")
+    if keys is not None:
+        nodes = nodes.join(keys.select("v", F.col("key").alias("_key")), "v")
+    nodes = _packed(nodes.orderBy("v"), {"_end": "edge", **({"_key": "long"} if keys is not None else {}), **np_})
+    edges = _packed(graph.edges.select("src", "dst", *ep).orderBy("src", "dst"), {"dst": "node", **ep})
     n, m = graph.vertices.count(), graph.edges.count()
     out = _stream(spark, path)
     try:
         out.write(struct.pack(">IIIqq", EXTENDED_MAGIC if extended else BASIC_MAGIC, 8, 8, n, m))
         out.write(struct.pack(">q", 0))
-        _column(out, begin, "e", "edge")
-        _column(out, edges, "dst", "node")
+        _column(out, nodes, "_end")
+        _column(out, edges, "dst")
         if extended:
             out.write(struct.pack(">?", keys is not None))
             if keys is not None:
-                _column(out, keys.orderBy("v"), "key", "long")
-            for props, rows, count in ((node_props or {}, graph.vertices.orderBy("v"), n), (edge_props or {}, edges, m)):
+                _column(out, nodes, "_key")
+            for props, packed, count in ((np_, nodes, n), (ep, edges, m)):
                 out.write(struct.pack(">I", len(props)))
                 for c, kind in props.items():
                     out.write(struct.pack(">IQ", KINDS[kind], count * np.dtype(_LAYOUT[kind]).itemsize))
-                    _column(out, rows, c, kind)
+                    _column(out, packed, c)
     finally:
         out.close()
+        discard(nodes)
+        discard(edges)

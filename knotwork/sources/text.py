@@ -100,10 +100,23 @@ def write_adjacency(edges: DataFrame, vertices: DataFrame, path: str, separator:
     vertices.join(near, "v", "left").select(F.concat_ws(separator, *head, F.when(F.size("n") > 0, part)).alias("value")).write.text(path)
 
 
-def read_avro_adjacency(spark: SparkSession, path) -> DataFrame:
-    """Adjacency records from Avro files; needs Spark's avro package on the class path."""
-    return spark.read.format("avro").load(path)
+def to_records(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Adjacency records (v, vertex properties..., neighbours): an array of (dst, properties...)."""
+    ep = [c for c in edges.columns if c not in ("src", "dst")]
+    near = edges.groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list(F.struct("dst", *ep))).alias("neighbours"))
+    return vertices.join(near, "v", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)))
+
+
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, vertices) of adjacency records."""
+    return records.select(F.col("v").alias("src"), F.inline("neighbours")), records.drop("neighbours")
+
+
+def read_avro_adjacency(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """(edges, vertices) of adjacency records in Avro files; needs Spark's avro package on the
+    class path."""
+    return from_records(spark.read.format("avro").load(path))
 
 
-def write_avro_adjacency(df: DataFrame, path: str) -> None:
-    df.write.format("avro").save(path)
+def write_avro_adjacency(edges: DataFrame, vertices: DataFrame, path: str) -> None:
+    to_records(edges, vertices).write.format("avro").save(path)
