@@ -22,7 +22,7 @@ LOCAL_ROWS = 100_000
 
 def _search(e: DataFrame, start: DataFrame, tags: list[str], max_level: int | None = None, on_level: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """(v, tags, level) of what start(v, tags) reaches over e(src, dst, tags), each tag for
-    itself. e and start must be cut. A job takes HOPS steps from a frontier whose levels are
+    itself. e must be cut. A job takes HOPS steps from a frontier whose levels are
     exact, so the least step at which it meets a vertex is that vertex's. When a job has met
     many, edges that end at visited vertices are dropped: a wide search goes on from what is
     unvisited."""
@@ -87,7 +87,8 @@ def bfs(
 
     within: labels (v, scc); only edges inside one label are followed. navigate(src, dst): an
     edge is followed only where it holds. visit(v): a vertex is entered only where it holds.
-    on_level(frontier, level): called for each level that has vertices."""
+    on_level(frontier, level): called for each level that has vertices; the frame is good within
+    the call."""
     e = edges.select("src", "dst")
     if navigate is not None:
         e = e.filter(navigate(F.col("src"), F.col("dst")))
