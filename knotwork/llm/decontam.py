@@ -156,7 +156,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             return F.when(F.size(w) >= size, here).otherwise(F.array().cast(found))
 
         read = let(words(F.col("_raw")), lambda w: F.concat(F.array().cast(found), *[spots(w, n) for n in sorted(step)]))
-        return texts.select("_id", "_hash", read.alias("r")).select("_id", "_hash", F.inline("r")).join(index, ["h", "n"])
+        # inlined as it stands: a filter inferred from a column would compute it once more
+        return texts.select("_id", "_hash", F.inline(read)).join(index, ["h", "n"])
 
     base = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash"), F.col(f"`{text}`").alias("_raw"))
     step = {n: stride(m - n + 1, similarity) for n, m in least.items()}
@@ -170,7 +171,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     texts = base.join(F.broadcast(spot) if laid <= BROADCAST_ROWS else spot, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
     cut = let(words(F.col("_raw")), lambda w: F.transform("spots", lambda s: F.struct(s["m"].alias("m"), s["first"].alias("first"), F.slice(w, s["first"] + 1, s["m"]).alias("win"))))
     windows = texts.select("_id", "_hash", F.explode(cut).alias("s")).groupBy("_id", "_hash", F.col("s.m").alias("m"), F.col("s.first").alias("first")).agg(F.first("s.win").alias("win"))
-    windows = windows.select("_id", "_hash", "m", shingles(F.col("win")).alias("bag")).withColumn("print", simhash(F.col("bag")))
+    # written, so that no filter of the join below computes the fingerprints again
+    windows = stored(windows.select("_id", "_hash", "m", shingles(F.col("win")).alias("bag")).withColumn("print", simhash(F.col("bag"))), "prints")
 
     # multi-index: an entry for each block and each value near the item's own
     blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
