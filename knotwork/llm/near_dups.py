@@ -42,6 +42,8 @@ SAMPLES = BANDS * ROWS
 #: Estimates below this (four standard deviations under 0.75) are dropped without a full look.
 LEAST_ESTIMATE = 0.58
 BLOCK = 128
+#: Rows of buckets in a task that holds members against each other.
+TASK_ROWS = 10_000
 #: Counters for how common a shingle is; shingles that share one only blur the order.
 SLOTS = 1 << 18
 _U = np.uint64
@@ -201,7 +203,10 @@ def _parts(buckets: DataFrame, classes: DataFrame, label: DataFrame) -> DataFram
     named = classes.select("cid", "n", "sketch").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     where = buckets.join(named.select("cid", "comp"), "cid")
     several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi")).filter("least <> hi").select("key", "least", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    members = salted(buckets, several, ["key"], "cid", "c", share_of(buckets.count())).join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    n = buckets.count()
+    members = salted(buckets, several, ["key"], "cid", "c", share_of(n)).join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    # parts are small but much work: tasks follow their rows, not their bytes
+    members = members.repartition(-(-n // TASK_ROWS) or 1, "key", "part")
     return members.groupBy("key", "part", "parts", "least").agg(F.collect_list(F.struct("cid", "comp", "n", "sketch")).alias("m")).select("parts", "least", "m")
 
 
