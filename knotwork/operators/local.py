@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Vertices and edges that a task gets at most, give or take one part.
-TASK_ROWS = 200_000
+TASK_ROWS = 400_000
 
 
 def strong_components(vertices: list[int], edges: list[tuple[int, int]]) -> dict[int, int]:

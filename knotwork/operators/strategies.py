@@ -10,7 +10,7 @@ from ..loop import Phases, cut
 from . import local, split, trim
 
 #: Parts with so many vertices and edges are finished by one task; larger ones are split on.
-LOCAL_ROWS = 100_000
+LOCAL_ROWS = 400_000
 
 
 class Plan:

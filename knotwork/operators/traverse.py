@@ -17,7 +17,7 @@ COMPACT = 8
 #: Share of the edges that new vertices must make up for edges into visited ones to be dropped.
 PRUNE = 0.25
 #: A graph with so many vertices and edges goes to one task whole where a walk is long.
-LOCAL_ROWS = 100_000
+LOCAL_ROWS = 400_000
 
 
 def _search(e: DataFrame, start: DataFrame, tags: list[str], max_level: int | None = None, on_level: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
