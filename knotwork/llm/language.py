@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from .common import buffers, fresh, held_out, remainder, slices, stored, table
 
 #: Labelled text for each language: bytes, and rows to choose them from, at most.
-SAMPLE_BYTES, SAMPLE_ROWS = 24_000, 4096
+SAMPLE_BYTES, SAMPLE_ROWS = 24_000, 1024
+#: A language's rows are dealt to so many parts by hash, and as many of each part may be chosen.
+PARTS = 256
 #: Of a longer text so many characters are taken, from a place that its hash tells.
 PIECE = 4000
 SEGMENT = 1024
@@ -156,8 +158,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     each, until sample_bytes are reached. The driver holds so many bytes for each language."""
     known = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang"), F.lower(f"`{text}`").alias("_text")).filter("_lang is not null and _text <> ''")
     known = known.withColumn("_hash", F.xxhash64("_id", "_text"))
-    w = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    few = known.select("_lang", "_id", "_hash", F.least(F.length("_text"), F.lit(PIECE)).alias("_size")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= SAMPLE_ROWS)
+    # the least hashes of each part: no task ranks all rows of a language
+    few = known.select("_lang", "_id", "_hash", F.least(F.length("_text"), F.lit(PIECE)).alias("_size"), F.pmod(F.xxhash64("_hash"), F.lit(PARTS)).alias("_part"))
+    parts, w = Window.partitionBy("_lang", "_part").orderBy("_hash", "_id"), Window.partitionBy("_lang").orderBy("_hash", "_id")
+    few = few.withColumn("_n", F.row_number().over(parts)).filter(F.col("_n") <= SAMPLE_ROWS // PARTS).withColumn("_n", F.row_number().over(w))
     sums = w.rowsBetween(Window.unboundedPreceding, -1)
     few = stored(few.withColumn("_before", F.coalesce(F.sum("_size").over(sums), F.lit(0))).filter(F.col("_before") < sample_bytes).select("_lang", "_hash", "_n"), "chosen")
     start = F.pmod(F.xxhash64("_hash"), F.greatest(F.length("_text") - PIECE + 1, F.lit(1))).cast("int") + 1
