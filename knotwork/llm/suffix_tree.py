@@ -2,7 +2,7 @@
 
 A text is its tokens: the words, A-Z lower-cased, then one end. The tree's symbols are tokens. A
 node is a context: up to DEPTH whole tokens before, never beyond the start of the text. A context
-is retained if it occurs often enough (least_count) and its next-token distribution diverges from its
+is retained if it occurs LEAST times, whatever the size of the corpus, and its next-token distribution diverges from its
 suffix's: the log-likelihood gain over the suffix's must exceed a quarter of the number of its
 different next tokens times the log of its count. A retained context's distribution is smoothed
 by its longest retained suffix's (Witten-Bell); the root is the add-one unigram model, in which
@@ -35,9 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Buckets, buffers, held_out, mix, randoms, slices, table, word_hashes
 
-#: Tokens of a context, and how often it must occur; if it has several tokens, also DEEP times the
-#: root of the number of training tokens: the tree then grows with the corpus, but not what each
-#: text's tokens cost.
+#: Tokens of a context, and how often it must occur, in a corpus of any size. Only a thinned tree
+#: asks more of contexts of several tokens: DEEP times the root of the number of training tokens.
 DEPTH, LEAST, DEEP = 2, 8, 0.01
 #: Tokens in a block, one document at least.
 BLOCK_TOKENS = 2_500_000
@@ -82,7 +81,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def least_count(depth: int, tokens: int) -> int:
-    """How often a context of `depth` tokens must occur among so many training tokens."""
+    """How often a context of `depth` tokens must occur in a tree thinned for so many training
+    tokens; with tokens 0, in one that isn't thinned."""
     return LEAST if depth < 2 else max(LEAST, math.ceil(DEEP * math.sqrt(tokens)))
 
 
@@ -218,12 +218,12 @@ class _Block:
         self.at = np.arange(len(self.place))
         self.times = self.seen
 
-    def deeper(self, depth: int, tokens: int) -> None:
+    def deeper(self, depth: int, least: list[int]) -> None:
         """The contexts of `depth` tokens that occur often enough, and the n-grams they make:
         at: their tokens' places; context and its count cn; key and place among the keys."""
         first = np.zeros(len(self.place), bool)
         first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        often = (self.times >= least_count(depth, tokens)) & (self.at + 1 < len(self.place))
+        often = (self.times >= least[depth]) & (self.at + 1 < len(self.place))
         often[often] = ~first[self.at[often] + 1]  # what follows stands in the same text
         self.context, self.cn, self.at = self.gram[often], self.times[often], self.at[often] + 1
         self.key = mix(self.context * _STEP[depth] + self.words[self.place[self.at]]) >> _SHIFT
@@ -245,11 +245,11 @@ class _Block:
         at, kinds = self.at[keep], kinds[keep]
         self.p[at] = np.log((self.times[keep] + kinds * np.exp(self.p[at])) / (self.cn[keep] + kinds))
 
-    def upto(self, depth: int, tokens: int, types: int) -> None:
+    def upto(self, depth: int, tokens: int, types: int, least: list[int]) -> None:
         """Everything that answers to n-grams of `depth` tokens of context tell."""
         self.root(tokens, types)
         for d in range(1, depth + 1):
-            self.deeper(d, tokens)
+            self.deeper(d, least)
             self.times = self.counts(f"n{d}")[self.of]
             self.gram = self.key
             if f"g{d}" in self.answers:
@@ -270,19 +270,19 @@ def _words(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.mapInArrow(run, _SENT)
 
 
-def _asked(blocks: DataFrame, answers: DataFrame, depth: int, last: bool, parts: int, tokens: int, types: int) -> DataFrame:
+def _asked(blocks: DataFrame, answers: DataFrame, depth: int, last: bool, parts: int, tokens: int, types: int, least: list[int]) -> DataFrame:
     """What blocks ask at a depth, the answers to lower depths known: counts of the n-grams of
     the contexts one deeper, and their shares of this depth's contexts' gains."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _Block(left.to_pylist()[0], right.to_pylist())
-        own.upto(depth, tokens, types)
+        own.upto(depth, tokens, types, least)
         rows = []
         if depth:
             contexts, sums = own.share()
             rows += _dealt(f"g{depth}", own.block, parts, contexts, np.zeros(len(contexts), np.int64), sums)
         if not last:
-            own.deeper(depth + 1, tokens)
+            own.deeper(depth + 1, least)
             rows += _dealt(f"n{depth + 1}", own.block, parts, own.keys, own.trained(own.of, len(own.keys), own.train[own.at]))
         return pa.Table.from_batches([_batch(rows, _SENT)])
 
@@ -292,22 +292,22 @@ def _asked(blocks: DataFrame, answers: DataFrame, depth: int, last: bool, parts:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(blocks: DataFrame, answers: DataFrame, depth: int, tokens: int, types: int) -> DataFrame:
+def _scores(blocks: DataFrame, answers: DataFrame, depth: int, tokens: int, types: int, least: list[int]) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _Block(left.to_pylist()[0], right.to_pylist())
         own.root(tokens, types)
         first = own.offsets[:-1]  # every text has an end token
         total = lambda x: np.add.reduceat(x, first) / np.log(10) if len(first) else np.zeros(0)
         base, known = total(own.p), np.add.reduceat((own.seen > 0).astype(np.int64), first)
-        own.upto(depth, tokens, types)
+        own.upto(depth, tokens, types, least)
         return pa.table({"doc_id": pa.array(own.ids, pa.int64()), "held_out": pa.array(own.held), "n_tokens": np.diff(own.offsets), "n_known": known, "base_score": base, "score": total(own.p)})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORES)
 
 
-def train_and_score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def train_and_score(docs: DataFrame, depth: int = DEPTH, thinned: bool = False) -> DataFrame:
     """Train on docs(doc_id, text, held_out) where held_out is false, with contexts of up to
-    `depth` tokens, and score them all."""
+    `depth` tokens, and score them all. thinned: with fewer contexts the larger the corpus."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK_BYTES))
     blocks = Buckets(docs.sparkSession, "blocks", "block", parts).add(_blocks(docs))
@@ -315,9 +315,10 @@ def train_and_score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     keep = lambda sent: answers.add(_totals(sent, parts).repartition(answers.n, "block"))
     told = keep(_words(blocks, parts))
     tokens, types = (x or 0 for x in told.agg(F.sum("n"), F.sum("v")).first())
+    least = [least_count(d, tokens if thinned else 0) for d in range(depth + 1)]
     for d in range(depth + 1):
-        told = keep(_asked(blocks, told, d, d == depth, parts, tokens, types))
-    scores = _scores(blocks, told, depth, tokens, types)
+        told = keep(_asked(blocks, told, d, d == depth, parts, tokens, types, least))
+    scores = _scores(blocks, told, depth, tokens, types, least)
     return scores.withColumn("train_tokens", F.lit(tokens).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

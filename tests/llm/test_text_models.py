@@ -97,6 +97,16 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch, depth, tokens_in_bl
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_suffix_tree_asks_the_same_of_contexts_in_any_corpus(spark, monkeypatch):
+    """Contexts of two tokens are kept by their own counts; only a thinned tree counts the corpus."""
+    docs = spark.createDataFrame([(i, "a b c d " * 8 + "x b e f " * 8, False) for i in range(8)], "doc_id long, text string, held_out boolean")
+    score = lambda **how: {r.doc_id: r.score for r in suffix_tree.train_and_score(docs, **how).collect()}
+    small = score()
+    assert score(thinned=True) == small
+    monkeypatch.setattr(suffix_tree, "DEEP", 1e6)  # as if the corpus were very large
+    assert score() == small and score(thinned=True) != small
+
+
 def test_suffix_tree_edges(spark):
     assert suffix_tree.train_and_score(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).count() == 0
     got = suffix_tree.train_and_score(spark.createDataFrame([(None, "a b", True), (1, "a b", True), (1, "a b", True)], "doc_id long, text string, held_out boolean")).collect()
