@@ -39,15 +39,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     such rows is left out. Needs O(log n) rounds, each stored in the shared folder in place of
     the one before; it is done when every edge leads to a root, a vertex that no edge leaves."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    e = stored(e, "cc")
-    share = share_of(2 * e.count())
+    e, share = stored(e, "cc"), None
     for _ in range(max_rounds):
-        # no vertex gets more neighbours within a round than it has; out: edges that leave it
+        # one query a round, as each leaves threads and classes in the driver. No vertex gets more
+        # neighbours within a round than it has; out: edges that leave it; rows: edges, each met once
         degrees = _both_ways(e).groupBy("u").agg(F.count("*").alias("c"), F.count(F.when(F.col("v") < F.col("u"), 1)).alias("out"))
-        most, out = degrees.agg(F.max("c"), F.max("out")).first()
-        roots = e.select(F.col("v").alias("node")).distinct()
-        if (out or 0) <= 1 and roots.join(e.select(F.col("u").alias("node")), "node", "left_semi").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.withColumn("component", F.col("node")))
+        passed = F.count(F.when((F.col("out") > 0) & (F.col("c") > F.col("out")), 1))
+        most, out, rows, through = degrees.agg(F.max("c"), F.max("out"), F.sum("out"), passed).first()
+        if (out or 0) <= 1 and not through:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node")))
+        share = share or share_of(2 * rows)
         cut = share if most > share else None
         old, e = e, stored(_small_star(_large_star(e, cut), cut), "cc")
         discard(old)

@@ -185,10 +185,10 @@ def _likely(numerator: int, denominator: int):
     return (F.col("differ") <= most_differing(LEAST_ESTIMATE)) & (F.least("xn", "yn") * denominator >= F.greatest("xn", "yn") * numerator)
 
 
-def _first_links(buckets: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(x, y): for each class the likeliest of the least members of its buckets."""
+def _first_links(buckets: DataFrame, n: int, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(x, y): for each class the likeliest of the least members of its buckets, of n rows."""
     least = buckets.groupBy("key").agg(F.min("cid").alias("y"), F.count("*").alias("c"))
-    met = salted(buckets, least, ["key"], "cid", "c", share_of(buckets.count())).filter("cid <> y").select(F.col("cid").alias("x"), "y").distinct()
+    met = salted(buckets, least, ["key"], "cid", "c", share_of(n)).filter("cid <> y").select(F.col("cid").alias("x"), "y").distinct()
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s"))
     seen = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xn", "yn", _differing("xs", "ys").alias("differ")).filter(_likely(numerator, denominator))
     return seen.groupBy("x").agg(F.min(F.struct("differ", "y")).alias("b")).select("x", "b.y")
@@ -198,12 +198,11 @@ def _column(x, name: str) -> np.ndarray:
     return x.field(name).to_numpy()
 
 
-def _parts(buckets: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, part, parts, least, m): the members of buckets with several components, in parts."""
+def _parts(buckets: DataFrame, n: int, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, part, parts, least, m): the members of buckets (n rows) with several components, in parts."""
     named = classes.select("cid", "n", "sketch").join(label, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     where = buckets.join(named.select("cid", "comp"), "cid")
     several = where.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("hi")).filter("least <> hi").select("key", "least", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    n = buckets.count()
     members = salted(buckets, several, ["key"], "cid", "c", share_of(n)).join(named, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     # parts are small but much work: tasks follow their rows, not their bytes
     members = members.repartition(-(-n // TASK_ROWS) or 1, "key", "part")
@@ -382,6 +381,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
     every = stored(classes.select("cid", F.explode("keys").alias("key")).distinct(), "buckets")
     busy = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = stored(every.join(busy.hint("merge"), "key"), "buckets")  # the same plan at every size
+    n = buckets.count()
     mates = stored(classes.drop("keys", "c").join(buckets.select("cid").distinct(), "cid", "left_semi"), "mates")
     sets = stored(_packed_sets(docs, mates, doc_id, text), "sets")
     room = (numerator, denominator)
@@ -389,11 +389,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerator:
     def labels(links: DataFrame) -> DataFrame:
         return stored(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "cid"), "labels")
 
-    sure = stored(confirmed(_first_links(buckets, mates, *room), sets, *room), "links")
-    parts = _parts(buckets, mates, labels(sure))
+    sure = stored(confirmed(_first_links(buckets, n, mates, *room), sets, *room), "links")
+    parts = _parts(buckets, n, mates, labels(sure))
     sure = stored(sure.union(confirmed(_likeliest(parts, room), sets, *room)), "links")
     label = labels(sure)
-    families = stored(components(_related(_parts(buckets, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family")), "families")
+    families = stored(components(_related(_parts(buckets, n, mates, label), room)).select(F.col("node").alias("comp"), F.col("component").alias("family")), "families")
     if not families.isEmpty():
         sure = sure.union(_family_links(families, mates, label, sets, *room))
     # an id with several texts links their classes

@@ -264,3 +264,18 @@ def test_substring_dedup_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
     got = [tuple(r) for r in suffix_dedup.op3_suffix_dedup(spark, "/root/testdata/sf0.001").collect()]
     assert sorted(got) == sorted(brute_removed(docs))
+
+
+def test_a_round_of_components_asks_once(spark, monkeypatch):
+    """A round has one query for the driver; each more leaves threads and classes there."""
+    frame, asked = type(spark.range(1)), []
+    first = frame.first
+    monkeypatch.setattr(frame, "first", lambda df: asked.append(1) or first(df))
+    for name in ("count", "isEmpty"):
+        monkeypatch.setattr(frame, name, lambda df: pytest.fail("a second query in a round"))
+    kept, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: kept.append(1) or stored(df, name))
+    edges = [(i, i + 1) for i in range(30)] + [(40, 50), (50, 45), (60, 60)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(31), 0) | dict.fromkeys((40, 45, 50), 40)
+    assert len(asked) == len(kept) > 1
